@@ -39,24 +39,28 @@ def _term_runs(tokens: Column) -> Column:
 
 def postings(chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
     """(corpus_key, doc_id, chunk_index, term, tf, dl), built without a shuffle."""
-    tokens = tokenise(chunks).select(F.col(corpus).alias("corpus_key"), *CHUNK_ID, "tokens")
-    runs = tokens.select("corpus_key", *CHUNK_ID, F.size("tokens").alias("dl"), _term_runs(F.col("tokens")).alias("_runs"))
+    runs = tokenise(chunks).select(F.col(corpus).alias("corpus_key"), *CHUNK_ID, F.col("word_count").alias("dl"),
+                                   _term_runs(F.col("tokens")).alias("_runs"))
     rows = rows_of(runs, F.col("_runs"), "_n", "_run", ("corpus_key", *CHUNK_ID, "dl"))
     term = F.substring_index("_run", " ", 1)
     tf = (F.length("_run") + 1) / (F.length(term) + 1)
     return rows.select("corpus_key", *CHUNK_ID, term.alias("term"), tf.cast("int").alias("tf"), "dl")
 
 
-def term_stats(posts: DataFrame) -> DataFrame:
+def corpus_sizes(chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
+    return chunks.groupBy(F.col(corpus).alias("corpus_key")).agg(
+        F.count("*").alias("n_chunks"), F.avg("word_count").alias("avgdl"))
+
+
+def term_stats(posts: DataFrame, chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
     """(corpus_key, term, df, n_chunks, avgdl, idf) with the floor for common terms.
 
-    Only counts are shuffled: both aggregations combine on the map side, so a common
-    term or a large corpus costs one row per task.
+    Only counts are shuffled: the aggregations combine on the map side, so a common term
+    or a large corpus costs one row per task.
     """
-    df_table = posts.groupBy("corpus_key", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("_tf"))
-    sizes = (posts.groupBy("corpus_key", *CHUNK_ID).agg(F.first("dl").alias("dl"))
-             .groupBy("corpus_key").agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl")))
-    raw = df_table.join(sizes, "corpus_key").withColumn(
+    counts = posts.groupBy("corpus_key", "term").agg(F.count("*").alias("df"))
+    sizes = broadcast_if_small(corpus_sizes(chunks, corpus))
+    raw = counts.join(sizes, "corpus_key").withColumn(
         "_idf", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     means = raw.groupBy("corpus_key").agg(F.avg("_idf").alias("_mean"))
     idf = F.when(F.col("_idf") < 0, IDF_FLOOR * F.col("_mean")).otherwise(F.col("_idf"))

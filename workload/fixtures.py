@@ -33,3 +33,48 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BENCHMARK_QUERIES = "SELECT item_id AS query_id, text FROM benchmark"
+
+
+def doc_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows. Types and projects are dealt out over the documents by id."""
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("memoire", "programme", "rc", "unspecified")]),
+                        (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.format_string("%s_%d.pdf", "source", "doc_id").alias("file_name"), kind.alias("doc_type"),
+        F.when(F.col("doc_id") % 4 == 1, F.col("doc_id") % 10).alias("project_id"), "n_chars",
+        F.col("source").alias("corpus_key"))
+
+
+DOC_META = """doc_meta AS (SELECT doc_id, source || '_' || doc_id || '.pdf' AS file_name,
+  ['memoire', 'programme', 'rc', 'unspecified'][doc_id % 4 + 1] AS doc_type,
+  CASE WHEN doc_id % 4 = 1 THEN doc_id % 10 END AS project_id, n_chars, source AS corpus_key FROM documents)"""
+
+
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry as appended: labelled documents were registered a second time under another name."""
+    meta = doc_meta(spark, sf_dir).select("doc_id", "file_name", "doc_type", F.lit(0).alias("ord"))
+    again = table(spark, sf_dir, "labels").select("doc_id", F.lit("again.pdf").alias("file_name"),
+                                                  F.lit("rc").alias("doc_type"), F.lit(1).alias("ord"))
+    return meta.unionByName(again)
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at"))
+    cust = table(spark, sf_dir, "customer")
+    return cust.join(first, cust.c_custkey == first.o_custkey, "left").select(
+        F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("client_name"),
+        F.lit("active").alias("status"), "created_at", F.col("created_at").alias("updated_at"))
+
+
+def project_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("doc_id"),
+        F.when(F.col("o_orderstatus") == "F", "memoire").otherwise("programme").alias("doc_type"),
+        F.col("o_orderdate").alias("added_at"))
+
+
+PROJECTS = """projects AS (SELECT c_custkey AS project_id, c_name AS name, c_mktsegment AS client_name, 'active' AS status,
+  created_at, created_at AS updated_at FROM customer LEFT JOIN
+  (SELECT o_custkey, min(o_orderdate) AS created_at FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
+PROJECT_DOCUMENTS = """project_documents AS (SELECT o_custkey AS project_id, o_orderkey AS doc_id,
+  CASE WHEN o_orderstatus = 'F' THEN 'memoire' ELSE 'programme' END AS doc_type, o_orderdate AS added_at FROM orders)"""

@@ -30,7 +30,7 @@ def chk_pack(spark, sf):
 
 
 @query("chk_hard_split", q.with_(CHUNKS, """
-SELECT doc_id, count(*) AS pieces, sum(length(text)) AS chars, max(length(text)) AS longest
+SELECT doc_id, count(*) AS pieces, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest
 FROM chunks WHERE doc_id IN (SELECT doc_id FROM packed WHERE length(text) > 6000) GROUP BY 1"""))
 def chk_hard_split(spark, sf):
     """Documents holding a packed chunk over the length limit, and their pieces."""
@@ -81,15 +81,21 @@ def sch_postings(spark, sf):
 @query("sch_term_stats", q.with_(POSTINGS, """
 SELECT corpus_key, term, df, n_chunks, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM stats"""))
 def sch_term_stats(spark, sf):
-    out = se.term_stats(se.postings(se.placed(ck.searchable(fx.chunks(spark, sf)))))
+    kept = se.placed(ck.searchable(fx.chunks(spark, sf)))
+    out = se.term_stats(se.postings(kept), kept)
     return out.select("corpus_key", "term", "df", "n_chunks", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
 
 
+def _keyword_hits(spark, sf):
+    kept = se.placed(ck.searchable(fx.chunks(spark, sf)))
+    posts = se.postings(kept)
+    return se.bm25(posts, se.term_stats(posts, kept), fx.benchmark_queries(spark, sf))
+
+
 @query("sch_bm25", q.with_([*ASKED, q.bm25_cte(), q.top("kw", "bm25", 20, "kw_top")], """
 SELECT query_id, doc_id, chunk_index, round(bm25, 6) AS bm25, rank FROM kw_top"""))
 def sch_bm25(spark, sf):
-    posts = se.postings(se.placed(ck.searchable(fx.chunks(spark, sf))))
-    hits = se.bm25(posts, se.term_stats(posts), fx.benchmark_queries(spark, sf))
+    hits = _keyword_hits(spark, sf)
     top = se.best(hits, "bm25", 2 * se.TOP_K)
     return top.select("query_id", "doc_id", F.col("chunk_index").cast("long"), F.round("bm25", 6).alias("bm25"),
                       F.col("rank").cast("long"))
@@ -127,8 +133,7 @@ def sch_cosine(spark, sf):
 @query("sch_minmax", q.with_([*ASKED, q.bm25_cte(), q.scaled("kw", "bm25", "keyword", "kw_s")], """
 SELECT query_id, doc_id, chunk_index, round(keyword, 6) AS keyword FROM kw_s"""))
 def sch_minmax(spark, sf):
-    posts = se.postings(se.placed(ck.searchable(fx.chunks(spark, sf))))
-    hits = se.bm25(posts, se.term_stats(posts), fx.benchmark_queries(spark, sf))
+    hits = _keyword_hits(spark, sf)
     out = se.minmax(hits, "bm25", "keyword")
     return out.select("query_id", "doc_id", F.col("chunk_index").cast("long"), F.round("keyword", 6).alias("keyword"))
 
