@@ -78,3 +78,36 @@ PROJECTS = """projects AS (SELECT c_custkey AS project_id, c_name AS name, c_mkt
   (SELECT o_custkey, min(o_orderdate) AS created_at FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
 PROJECT_DOCUMENTS = """project_documents AS (SELECT o_custkey AS project_id, o_orderkey AS doc_id,
   CASE WHEN o_orderstatus = 'F' THEN 'memoire' ELSE 'programme' END AS doc_type, o_orderdate AS added_at FROM orders)"""
+
+
+def reshaped(spark: SparkSession, sf_dir: str, spark_expr: str, columns: str = "doc_id") -> DataFrame:
+    """Documents with their lines rewritten by an expression over (line x, 0-based index i)."""
+    lines = f"array_join(transform(split(text, '\\n'), (x, i) -> {spark_expr}), '\\n')"
+    return documents(spark, sf_dir).selectExpr(columns, f"{lines} AS text")
+
+
+def reshaped_sql(sql_expr: str, name: str = "docs", columns: str = "doc_id") -> str:
+    """The same in DuckDB, where the index j counts from 1 and i = j - 1 is written out."""
+    body = sql_expr.replace("{i}", "(j - 1)")
+    return f"{name} AS (SELECT {columns}, array_to_string(list_transform(string_split(text, chr(10)), lambda x, j: {body}), chr(10)) AS text FROM documents)"
+
+
+def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as parsed: each line is a page, every third page with an image comment."""
+    page = ("transform(split(text, '\\n'), (x, i) -> struct(i + 1 AS page, "
+            "CASE WHEN i % 3 = 0 THEN concat(x, '\\n\\n\\n\\n<!-- image -->') ELSE x END AS text))")
+    return documents(spark, sf_dir).selectExpr("doc_id", f"{page} AS pages")
+
+
+def styled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as paragraphs: every fourth line is a heading of some level."""
+    style = ("CASE WHEN i % 4 = 0 THEN concat('Heading ', 1 + (doc_id + i) % 9) "
+             "WHEN i % 4 = 2 AND doc_id % 3 = 0 THEN 'titre 2' ELSE 'Normal' END")
+    return documents(spark, sf_dir).selectExpr(
+        "doc_id", f"transform(split(text, '\\n'), (x, i) -> struct({style} AS style, x AS text)) AS paragraphs")
+
+
+STYLED = """paras AS (SELECT doc_id, i, level, trim(t, chars) AS t FROM (SELECT doc_id, i, t, {chars} AS chars,
+    CASE WHEN (i - 1) % 4 = 0 THEN 1 + (doc_id + i - 1) % 9 WHEN (i - 1) % 4 = 2 AND doc_id % 3 = 0 THEN 2 END AS level
+  FROM (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS t FROM
+    (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))))"""
