@@ -111,3 +111,45 @@ STYLED = """paras AS (SELECT doc_id, i, level, trim(t, chars) AS t FROM (SELECT
     CASE WHEN (i - 1) % 4 = 0 THEN 1 + (doc_id + i - 1) % 9 WHEN (i - 1) % 4 = 2 AND doc_id % 3 = 0 THEN 2 END AS level
   FROM (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS t FROM
     (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))))"""
+
+START = 1704067200  # first second of the fixture's conversations
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored history has user and assistant rows only; a turn each minute, a conversation each two hours."""
+    conv = table(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
+    return conv.select("conv_id", (F.lit(START) + F.col("conv_id") * 7200 + F.col("turn") * 60).alias("ts"),
+                       F.when(F.col("role") == "user", 0).otherwise(1).alias("part"), "role", "text")
+
+
+TURNS = f"""turns AS (SELECT conv_id, {START} + conv_id * 7200 + turn * 60 AS ts, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS part, role, text
+  FROM conversations WHERE role IN ('user', 'assistant'))"""
+
+
+def questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(questions, earlier turns): the last user turn of each conversation is the new question.
+
+    Its documents are those of one source.
+    """
+    all_turns = turns(spark, sf_dir)
+    last = all_turns.filter("part = 0").groupBy("conv_id").agg(F.max("ts").alias("at"), F.max_by("text", "ts").alias("text"))
+    asked = last.select(F.col("conv_id").alias("query_id"), "conv_id", "at", F.concat(F.lit("src"), F.col("conv_id") % 20).alias("corpus_key"), "text")
+    earlier = all_turns.join(last.select("conv_id", "at"), "conv_id").filter(F.col("ts") < F.col("at")).drop("at")
+    return asked, earlier
+
+
+QUESTIONS = [TURNS, """asked AS (SELECT conv_id AS query_id, conv_id, max(ts) AS at_ts, 'src' || conv_id % 20 AS corpus_key, max_by(text, ts) AS text
+  FROM turns WHERE part = 0 GROUP BY conv_id)""",
+  """recent AS (SELECT t.*, row_number() OVER (PARTITION BY t.conv_id ORDER BY ts DESC, part DESC) AS r FROM turns t JOIN asked a USING (conv_id) WHERE ts < at_ts)""",
+  """hist AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'Utilisateur' ELSE 'Assistant' END || ' : ' || text, chr(10) ORDER BY r DESC) AS history
+  FROM recent WHERE r <= 6 GROUP BY 1)"""]
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").otherwise("running")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"),
+                                                 (F.col("event_id") % 10).alias("current"), F.lit(10).alias("total"))
+
+
+JOB_EVENTS = """job_events AS (SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'running' END AS status,
+  event_id % 10 AS current, 10 AS total FROM events)"""
