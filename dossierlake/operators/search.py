@@ -6,11 +6,12 @@ queries(query_id, text [, corpus_key]).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dossierlake.functions import text as tx, vectors as vx
 from dossierlake.functions.arrays import rows_of
-from dossierlake.session import broadcast_if_small
+from dossierlake.session import broadcast_if, broadcast_if_small, is_small
 
 # Okapi constants, fusion weights, list lengths and score floors.
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
@@ -28,23 +29,14 @@ def tokenise(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("tokens", tx.words(F.lower("text")))
 
 
-def _term_runs(tokens: Column) -> Column:
-    """Runs of equal terms in the sorted token list, each as one string.
+def postings(chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
+    """(corpus_key, doc_id, chunk_index, term, tf, dl).
 
-    A chunk is one row, so counting inside the row spares the shuffle of every token.
+    Over `placed` chunks the grouping needs no exchange: all words of a chunk are together.
     """
-    ordered = F.array_join(F.array_sort(tokens), " ")
-    return F.regexp_extract_all(ordered, F.lit(r"(?<![^ ])([^ ]+)(?: \1(?![^ ]))*"), F.lit(0))
-
-
-def postings(chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
-    """(corpus_key, doc_id, chunk_index, term, tf, dl), built without a shuffle."""
-    runs = tokenise(chunks).select(F.col(corpus).alias("corpus_key"), *CHUNK_ID, F.col("word_count").alias("dl"),
-                                   _term_runs(F.col("tokens")).alias("_runs"))
-    rows = rows_of(runs, F.col("_runs"), "_n", "_run", ("corpus_key", *CHUNK_ID, "dl"))
-    term = F.substring_index("_run", " ", 1)
-    tf = (F.length("_run") + 1) / (F.length(term) + 1)
-    return rows.select("corpus_key", *CHUNK_ID, term.alias("term"), tf.cast("int").alias("tf"), "dl")
+    words = tokenise(chunks).select(F.col(corpus).alias("corpus_key"), *CHUNK_ID, F.col("word_count").alias("dl"),
+                                    F.explode_outer("tokens").alias("term")).filter(F.col("term").isNotNull())
+    return words.groupBy("corpus_key", *CHUNK_ID, "dl", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def corpus_sizes(chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
@@ -56,15 +48,25 @@ def term_stats(posts: DataFrame, chunks: DataFrame, corpus: str = "corpus_key")
     """(corpus_key, term, df, n_chunks, avgdl, idf) with the floor for common terms.
 
     Only counts are shuffled: the aggregations combine on the map side, so a common term
-    or a large corpus costs one row per task.
+    or a large corpus costs one row per task. With few corpora the per-corpus numbers are
+    broadcast, so the terms of a large corpus are never brought to one task either.
     """
-    counts = posts.groupBy("corpus_key", "term").agg(F.count("*").alias("df"))
-    sizes = broadcast_if_small(corpus_sizes(chunks, corpus))
-    raw = counts.join(sizes, "corpus_key").withColumn(
+    # Read twice below, for the terms and for their mean.
+    counts = posts.groupBy("corpus_key", "term").agg(F.count("*").alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = corpus_sizes(chunks, corpus)
+    few = is_small(sizes)
+    raw = counts.join(broadcast_if(few, sizes), "corpus_key").withColumn(
         "_idf", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     means = raw.groupBy("corpus_key").agg(F.avg("_idf").alias("_mean"))
     idf = F.when(F.col("_idf") < 0, IDF_FLOOR * F.col("_mean")).otherwise(F.col("_idf"))
-    return raw.join(means, "corpus_key").select("corpus_key", "term", "df", "n_chunks", "avgdl", idf.alias("idf"))
+    return raw.join(broadcast_if(few, means), "corpus_key").select(
+        "corpus_key", "term", "df", "n_chunks", "avgdl", idf.alias("idf"))
+
+
+def keyword_index(chunks: DataFrame, corpus: str = "corpus_key") -> tuple[DataFrame, DataFrame]:
+    """(postings, term statistics) of searchable, placed chunks. The postings serve both, so they are kept."""
+    posts = postings(chunks, corpus).persist(StorageLevel.MEMORY_AND_DISK)
+    return posts, term_stats(posts, chunks, corpus)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -89,14 +91,16 @@ def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
     Scores use the statistics of the chunk's own corpus and are compared across corpora.
     A `corpus_key` on the queries restricts each query to that corpus.
     """
-    terms = broadcast_if_small(query_terms(queries))
-    wanted = query_terms(queries).select("term").distinct()
-    used = stats.join(broadcast_if_small(wanted), "term", "left_semi")
-    used = broadcast_if_small(used.select("corpus_key", "term", "idf", "avgdl"))
-    on = ["corpus_key", "term"] if "corpus_key" in queries.columns else ["term"]
+    terms = query_terms(queries).persist(StorageLevel.MEMORY_AND_DISK)
+    few = is_small(terms)
+    keys = ["corpus_key", "term"] if "corpus_key" in queries.columns else ["term"]
+    wanted = broadcast_if(few, terms.select(*keys).distinct())
+    # At most the query terms of each corpus are left; kept, as counting them computes them.
+    used = stats.join(wanted, keys, "left_semi").select("corpus_key", "term", "idf", "avgdl").persist(StorageLevel.MEMORY_AND_DISK)
+    terms, used = broadcast_if(few, terms), broadcast_if_small(used)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    hits = posts.join(terms, on).join(used, ["corpus_key", "term"])
+    hits = posts.join(terms, keys).join(used, ["corpus_key", "term"])
     scored = hits.groupBy("query_id", *CHUNK_ID).agg(F.round(F.sum(part), 9).alias("bm25"))
     return scored.filter(F.col("bm25") > 0)
 

@@ -27,15 +27,20 @@ def build_session(app_name: str = "dossierlake", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast when `df` is counted to be small; leave the join to AQE otherwise.
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """Whether `df` holds at most `max_rows` rows. The count stops there, so a huge side costs no full pass."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
-    The count stops at `max_rows + 1` rows, so a huge side costs no full pass.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
+
+def broadcast_if(small: bool, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast when `df` is counted to be small; leave the join to AQE otherwise."""
+    return broadcast_if(is_small(df, max_rows), df)
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 

@@ -82,14 +82,14 @@ def sch_postings(spark, sf):
 SELECT corpus_key, term, df, n_chunks, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM stats"""))
 def sch_term_stats(spark, sf):
     kept = se.placed(ck.searchable(fx.chunks(spark, sf)))
-    out = se.term_stats(se.postings(kept), kept)
+    _, out = se.keyword_index(kept)
     return out.select("corpus_key", "term", "df", "n_chunks", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
 
 
 def _keyword_hits(spark, sf):
     kept = se.placed(ck.searchable(fx.chunks(spark, sf)))
-    posts = se.postings(kept)
-    return se.bm25(posts, se.term_stats(posts, kept), fx.benchmark_queries(spark, sf))
+    posts, stats = se.keyword_index(kept)
+    return se.bm25(posts, stats, fx.benchmark_queries(spark, sf))
 
 
 @query("sch_bm25", q.with_([*ASKED, q.bm25_cte(), q.top("kw", "bm25", 20, "kw_top")], """
