@@ -29,13 +29,16 @@ def tokenise(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("tokens", tx.words(F.lower("text")))
 
 
-def postings(chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
-    """(corpus_key, doc_id, chunk_index, term, tf, dl).
+def postings(chunks: DataFrame, corpus: str = "corpus_key", terms: DataFrame | None = None) -> DataFrame:
+    """(corpus_key, doc_id, chunk_index, term, tf, dl), of given terms only where there are some.
 
     Over `placed` chunks the grouping needs no exchange: all words of a chunk are together.
+    Words that nobody asks for are dropped before they are counted.
     """
     words = tokenise(chunks).select(F.col(corpus).alias("corpus_key"), *CHUNK_ID, F.col("word_count").alias("dl"),
                                     F.explode_outer("tokens").alias("term")).filter(F.col("term").isNotNull())
+    if terms is not None:
+        words = words.join(terms, "term", "left_semi")
     return words.groupBy("corpus_key", *CHUNK_ID, "dl", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
@@ -44,15 +47,17 @@ def corpus_sizes(chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
         F.count("*").alias("n_chunks"), F.avg("word_count").alias("avgdl"))
 
 
-def term_stats(posts: DataFrame, chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
+def term_stats(chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
     """(corpus_key, term, df, n_chunks, avgdl, idf) with the floor for common terms.
 
     Only counts are shuffled: the aggregations combine on the map side, so a common term
     or a large corpus costs one row per task. With few corpora the per-corpus numbers are
     broadcast, so the terms of a large corpus are never brought to one task either.
     """
+    seen = tokenise(chunks).select(F.col(corpus).alias("corpus_key"), F.explode_outer(F.array_distinct("tokens")).alias("term"))
     # Read twice below, for the terms and for their mean.
-    counts = posts.groupBy("corpus_key", "term").agg(F.count("*").alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = seen.filter(F.col("term").isNotNull()).groupBy("corpus_key", "term").agg(F.count("*").alias("df")).persist(
+        StorageLevel.MEMORY_AND_DISK)
     sizes = corpus_sizes(chunks, corpus)
     few = is_small(sizes)
     raw = counts.join(broadcast_if(few, sizes), "corpus_key").withColumn(
@@ -63,12 +68,6 @@ def term_stats(posts: DataFrame, chunks: DataFrame, corpus: str = "corpus_key")
         "corpus_key", "term", "df", "n_chunks", "avgdl", idf.alias("idf"))
 
 
-def keyword_index(chunks: DataFrame, corpus: str = "corpus_key") -> tuple[DataFrame, DataFrame]:
-    """(postings, term statistics) of searchable, placed chunks. The postings serve both, so they are kept."""
-    posts = postings(chunks, corpus).persist(StorageLevel.MEMORY_AND_DISK)
-    return posts, term_stats(posts, chunks, corpus)
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, [corpus_key,] term, qtf); a repeated word counts again."""
     keep = [c for c in ("query_id", "corpus_key") if c in queries.columns]
@@ -85,8 +84,8 @@ def placed(chunks: DataFrame) -> DataFrame:
     return chunks.repartition(*CHUNK_ID)
 
 
-def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every positive score: (query_id, doc_id, chunk_index, bm25).
+def bm25(chunks: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every positive score of searchable chunks: (query_id, doc_id, chunk_index, bm25).
 
     Scores use the statistics of the chunk's own corpus and are compared across corpora.
     A `corpus_key` on the queries restricts each query to that corpus.
@@ -100,6 +99,7 @@ def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
     terms, used = broadcast_if(few, terms), broadcast_if_small(used)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
+    posts = postings(chunks, terms=broadcast_if(few, terms.select("term").distinct()))
     hits = posts.join(terms, keys).join(used, ["corpus_key", "term"])
     scored = hits.groupBy("query_id", *CHUNK_ID).agg(F.round(F.sum(part), 9).alias("bm25"))
     return scored.filter(F.col("bm25") > 0)

@@ -202,8 +202,7 @@ SELECT query_id, doc_id, chunk_index, round(semantic_score, 6) AS semantic_score
 def sch_fuse(spark, sf):
     kept = se.placed(ck.searchable(fx.chunks(spark, sf)))
     queries = fx.benchmark_queries(spark, sf)
-    posts, stats = se.keyword_index(kept)
-    keyword = se.best(se.bm25(posts, stats, queries), "bm25", 2 * se.TOP_K)
+    keyword = se.best(se.bm25(kept, se.term_stats(kept), queries), "bm25", 2 * se.TOP_K)
     meaning = se.semantic(se.chunk_vectors(kept), queries.withColumn("embedding", vx.embed(F.col("text"))), 2 * se.TOP_K)
     out = se.fuse(se.minmax_short(meaning, "similarity", "semantic"), se.minmax_short(keyword, "bm25", "keyword"))
     return longs(out.select("query_id", "doc_id", "chunk_index", *[F.round(c, 6).alias(c) for c in ("semantic_score", "bm25_score", "hybrid_score")], "source"), "chunk_index")

@@ -81,15 +81,13 @@ def sch_postings(spark, sf):
 @query("sch_term_stats", q.with_(POSTINGS, """
 SELECT corpus_key, term, df, n_chunks, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM stats"""))
 def sch_term_stats(spark, sf):
-    kept = se.placed(ck.searchable(fx.chunks(spark, sf)))
-    _, out = se.keyword_index(kept)
+    out = se.term_stats(ck.searchable(fx.chunks(spark, sf)))
     return out.select("corpus_key", "term", "df", "n_chunks", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
 
 
 def _keyword_hits(spark, sf):
     kept = se.placed(ck.searchable(fx.chunks(spark, sf)))
-    posts, stats = se.keyword_index(kept)
-    return se.bm25(posts, stats, fx.benchmark_queries(spark, sf))
+    return se.bm25(kept, se.term_stats(kept), fx.benchmark_queries(spark, sf))
 
 
 @query("sch_bm25", q.with_([*ASKED, q.bm25_cte(), q.top("kw", "bm25", 20, "kw_top")], """
