@@ -101,8 +101,9 @@ def bm25(chunks: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     posts = postings(chunks, terms=broadcast_if(few, terms.select("term").distinct()))
     hits = posts.join(terms, keys).join(used, ["corpus_key", "term"])
-    scored = hits.groupBy("query_id", *CHUNK_ID).agg(F.round(F.sum(part), 9).alias("bm25"))
-    return scored.filter(F.col("bm25") > 0)
+    scored = hits.groupBy("query_id", *CHUNK_ID).agg(F.sum(part).alias("_sum")).filter(F.col("_sum") > 0)
+    # Rounded so that the order of summing never decides a rank.
+    return scored.select("query_id", *CHUNK_ID, F.round("_sum", 6).alias("bm25"))
 
 
 def best(hits: DataFrame, score: str, k: int) -> DataFrame:
@@ -123,7 +124,7 @@ def semantic(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     With a `corpus_key` on the queries this becomes an equi-join on that key.
     """
-    similarity = F.round((1 + F.col("cosine")) / 2, 9)
+    similarity = (1 + F.col("cosine")) / 2
     if "corpus_key" in queries.columns:
         scored = pair_cosines(vectors, queries)
     else:

@@ -73,15 +73,15 @@ def test_bm25_with_one_corpus_holding_most_rows(spark):
         own = [r for r in rows if r[0] == corpus]
         for qid, text in asked:
             for r, s in zip(own, _okapi([x[3].split() for x in own], text.split())):
-                if round(s, 9) > 0:
+                if s > 0:
                     want[qid, r[1]] = s
     assert got.keys() == want.keys()
-    assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
 def test_scoring_moves_only_the_best_hits(spark):
     """No exchange between the placed chunks and each task's top list."""
-    chunks = spark.range(500).select(F.lit("c").alias("corpus_key"), F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"),
+    chunks = spark.range(500).select(F.lit("c").alias("corpus_key"), F.col("id").alias("doc_id"), (F.col("id") % 3).cast("int").alias("chunk_index"),
                                      F.concat_ws(" ", F.lit("a b"), F.col("id").cast("string")).alias("text"), F.lit(40).alias("word_count"))
     queries = spark.createDataFrame([(1, "a 7")], "query_id long, text string")
     top = se.best(se.bm25(se.placed(chunks), se.term_stats(chunks), queries), "bm25", 3)

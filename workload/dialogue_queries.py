@@ -198,14 +198,14 @@ def sch_ephemeral(spark, sf):
 
 
 @query("sch_fuse", q.with_([*_POST, *q.query_ctes(fx.BENCHMARK_QUERIES), *q.hybrid_ctes()], """
-SELECT query_id, doc_id, chunk_index, round(semantic_score, 6) AS semantic_score, round(bm25_score, 6) AS bm25_score, round(hybrid_score, 6) AS hybrid_score, source FROM fused"""))
+SELECT query_id, doc_id, chunk_index, round(semantic_score, 6) AS semantic_score, round(bm25_score, 6) AS bm25_score, hybrid_score, source FROM fused"""))
 def sch_fuse(spark, sf):
     kept = se.placed(ck.searchable(fx.chunks(spark, sf)))
     queries = fx.benchmark_queries(spark, sf)
     keyword = se.best(se.bm25(kept, se.term_stats(kept), queries), "bm25", 2 * se.TOP_K)
     meaning = se.semantic(se.chunk_vectors(kept), queries.withColumn("embedding", vx.embed(F.col("text"))), 2 * se.TOP_K)
     out = se.fuse(se.minmax_short(meaning, "similarity", "semantic"), se.minmax_short(keyword, "bm25", "keyword"))
-    return longs(out.select("query_id", "doc_id", "chunk_index", *[F.round(c, 6).alias(c) for c in ("semantic_score", "bm25_score", "hybrid_score")], "source"), "chunk_index")
+    return longs(out.select("query_id", "doc_id", "chunk_index", *[F.round(c, 6).alias(c) for c in ("semantic_score", "bm25_score")], "hybrid_score", "source"), "chunk_index")
 
 
 _NAMED = "named AS (SELECT r.*, c.text, source_name AS file_name FROM ranked r JOIN chunks c USING (doc_id, chunk_index) JOIN (SELECT doc_id, source || '_' || doc_id || '.pdf' AS source_name FROM documents) USING (doc_id))"
@@ -276,10 +276,10 @@ def _multi_hits(spark, sf):
     return chunks, se.first_section_wins(keyed, ["src"])
 
 
-@query("sch_multi_query", q.with_(_MULTI, "SELECT query_id, doc_id, chunk_index, round(hybrid_score, 6) AS hybrid_score FROM uniq"))
+@query("sch_multi_query", q.with_(_MULTI, "SELECT query_id, doc_id, chunk_index, hybrid_score FROM uniq"))
 def sch_multi_query(spark, sf):
     _, hits = _multi_hits(spark, sf)
-    return longs(hits.select("query_id", "doc_id", "chunk_index", F.round("hybrid_score", 6).alias("hybrid_score")), "chunk_index")
+    return longs(hits.select("query_id", "doc_id", "chunk_index", "hybrid_score"), "chunk_index")
 
 
 @query("sch_word_budget", q.with_([*_MULTI, f"parts AS (SELECT u.*, {q.nwords('text')} AS part_words FROM uniq u JOIN chunks c USING (doc_id, chunk_index))",
@@ -309,11 +309,11 @@ def _lane_fixture(spark, sf):
 
 @query("sch_lane_filter", q.with_([*_CHUNKS, fx.DOC_META, _LANE_CHUNKS,
   *q.posting_ctes("lanechunks WHERE word_count >= 30 AND doc_type = 'programme'", "project_id"), *q.query_ctes(_LANE_Q, scoped=True), *q.hybrid_ctes(10, scoped=True)], """
-SELECT query_id, doc_id, chunk_index, round(hybrid_score, 6) AS hybrid_score, rank FROM ranked"""))
+SELECT query_id, doc_id, chunk_index, hybrid_score, rank FROM ranked"""))
 def sch_lane_filter(spark, sf):
     """The programme lane: hits of both lanes are computed, the project-bound ones are compared."""
     hits = dr.lane_hits(_lane_queries(spark, sf), _lane_fixture(spark, sf)).filter(F.col("lane") == "programme")
-    return longs(hits.select("query_id", "doc_id", "chunk_index", F.round("hybrid_score", 6).alias("hybrid_score"), "rank"), "chunk_index", "rank")
+    return longs(hits.select("query_id", "doc_id", "chunk_index", "hybrid_score", "rank"), "chunk_index", "rank")
 
 
 @query("sec_fallback_search")

@@ -91,18 +91,18 @@ def _keyword_hits(spark, sf):
 
 
 @query("sch_bm25", q.with_([*ASKED, q.bm25_cte(), q.top("kw", "bm25", 20, "kw_top")], """
-SELECT query_id, doc_id, chunk_index, round(bm25, 6) AS bm25, rank FROM kw_top"""))
+SELECT query_id, doc_id, chunk_index, bm25, rank FROM kw_top"""))
 def sch_bm25(spark, sf):
     hits = _keyword_hits(spark, sf)
     top = se.best(hits, "bm25", 2 * se.TOP_K)
-    return top.select("query_id", "doc_id", F.col("chunk_index").cast("long"), F.round("bm25", 6).alias("bm25"),
+    return top.select("query_id", "doc_id", F.col("chunk_index").cast("long"), "bm25",
                       F.col("rank").cast("long"))
 
 
 @query("sch_semantic", """
 WITH q AS (SELECT label AS query_id, list(embedding) AS vs FROM embeddings GROUP BY 1),
 qm AS (SELECT query_id, [list_avg([v[i] FOR v IN vs])::FLOAT FOR i IN range(1, 65)] AS qv FROM q),
-s AS (SELECT query_id, vec_id AS doc_id, round((1 + round(list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]), 9)) / 2, 9) AS sim
+s AS (SELECT query_id, vec_id AS doc_id, (1 + round(list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]), 9)) / 2 AS sim
   FROM embeddings, qm)
 SELECT query_id::BIGINT AS query_id, doc_id, round(sim, 5) AS similarity, rank FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
@@ -137,13 +137,12 @@ def sch_minmax(spark, sf):
 
 
 def _rounded(df):
-    cols = [c for c in ("semantic_score", "bm25_score", "hybrid_score")]
-    return df.select("query_id", "doc_id", F.col("chunk_index").cast("long"),
-                     *[F.round(c, 6).alias(c) for c in cols], "source", F.col("rank").cast("long"))
+    return df.select("query_id", "doc_id", F.col("chunk_index").cast("long"), *[F.round(c, 6).alias(c) for c in ("semantic_score", "bm25_score")],
+                     "hybrid_score", "source", F.col("rank").cast("long"))
 
 
 _RANKED = """SELECT query_id, doc_id, chunk_index, round(semantic_score, 6) AS semantic_score,
-  round(bm25_score, 6) AS bm25_score, round(hybrid_score, 6) AS hybrid_score, source, rank FROM ranked"""
+  round(bm25_score, 6) AS bm25_score, hybrid_score, source, rank FROM ranked"""
 
 
 @query("sch_hybrid", q.with_([*ASKED, *q.hybrid_ctes()], _RANKED))

@@ -115,11 +115,11 @@ def query_ctes(queries: str, scoped: bool = False) -> list[str]:
 
 def bm25_cte(scoped: bool = False) -> str:
     on = "q.term = p.term" + (" AND q.corpus_key = p.corpus_key" if scoped else "")
-    return f"""kw AS (SELECT * FROM (SELECT query_id, doc_id, chunk_index,
-    round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS bm25
+    return f"""kw AS (SELECT query_id, doc_id, chunk_index, round(total, 6) AS bm25 FROM (SELECT query_id, doc_id, chunk_index,
+    sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS total
   FROM post p JOIN qterms q ON {on}
   JOIN stats t ON t.corpus_key = p.corpus_key AND t.term = p.term
-  GROUP BY 1, 2, 3) WHERE bm25 > 0)"""
+  GROUP BY 1, 2, 3) WHERE total > 0)"""
 
 
 def _hashed(kind: str, ids: str, rows: str) -> str:
@@ -169,7 +169,7 @@ def hybrid_ctes(k: int = 10, scoped: bool = False) -> list[str]:
     return [
         bm25_cte(scoped),
         *vector_ctes(scoped=scoped),
-        "sims AS (SELECT query_id, doc_id, chunk_index, round((1 + cosine) / 2, 9) AS similarity FROM cosines)",
+        "sims AS (SELECT query_id, doc_id, chunk_index, (1 + cosine) / 2 AS similarity FROM cosines)",
         top("kw", "bm25", 2 * k, "kw_top"), top("sims", "similarity", 2 * k, "sem_top"),
         scaled("kw_top", "bm25", "keyword", "kw_s"), scaled("sem_top", "similarity", "semantic", "sem_s"),
         FUSED, top("fused", "hybrid_score", k, "ranked"),
