@@ -141,13 +141,17 @@ def _with_references(section: Column, own: Column, heads: Column, lines: Column)
                         & (F.slice(r, 1, F.greatest(depth - 1, F.lit(0))) == F.slice(own["number"], 1, F.greatest(depth - 1, F.lit(0)))))
     places = F.filter(F.transform(siblings, lambda r: F.array_position(F.transform(heads, lambda h: h["number"]), r).cast("int")),
                       lambda p: p > 0)
+    # Bound step by step: a heading looked up inside the extent rule would be looked up at each use.
+    found = F.transform(places, lambda p: F.struct(F.element_at(heads, p).alias("head"), (p - 1).alias("at")))
+    bounded = F.transform(found, lambda x: F.struct(x["head"].alias("head"), _end_line(x["head"], x["at"], heads, F.size(lines)).alias("end")))
+    appended = F.transform(bounded, lambda b: F.concat(
+        F.lit(f"\n\n{CROSS_REFERENCE}"), b["head"]["title"], F.lit("]\n"), _body(lines, b["head"], b["end"])))
+    return F.when(own["number"].isNull(), section).otherwise(F.concat(section, F.array_join(appended, "")))
 
-    def appended(p):
-        head = F.element_at(heads, p)
-        return F.concat(F.lit(f"\n\n{CROSS_REFERENCE}"), head["title"], F.lit("]\n"),
-                        _body(lines, head, _end_line(head, p - 1, heads, F.size(lines))))
 
-    return F.when(own["number"].isNull(), section).otherwise(F.concat(section, F.array_join(F.transform(places, appended), "")))
+def _once(col: Column) -> Column:
+    """Keeps Catalyst from copying an expensive expression into filters above it."""
+    return F.explode_outer(F.array(col))
 
 
 def match_sections(docs: DataFrame, dictionary: dict, threshold: float = MATCH_THRESHOLD, references: bool = True, **kw) -> DataFrame:
@@ -159,7 +163,7 @@ def match_sections(docs: DataFrame, dictionary: dict, threshold: float = MATCH_T
     bounded = own.withColumn("section", _body(lines, F.col("own"), end))
     text = _with_references(F.col("section"), F.col("own"), heads, lines) if references else F.col("section")
     return bounded.select("doc_id", F.col("own.title").alias("heading"), F.col("own.level").alias("level"),
-                          F.round("score", 3).alias("score"), text.alias("text"))
+                          F.round("score", 3).alias("score"), _once(text).alias("text"))
 
 
 def section_of(docs: DataFrame, at: Column, text: str = "text", references: bool = True) -> DataFrame:
@@ -169,7 +173,7 @@ def section_of(docs: DataFrame, at: Column, text: str = "text", references: bool
     own = parsed.withColumn("own", F.element_at("heads", F.col("at") + 1))
     bounded = own.withColumn("section", _body(lines, F.col("own"), _end_line(F.col("own"), F.col("at"), heads, F.size(lines))))
     full = _with_references(F.col("section"), F.col("own"), heads, lines) if references else F.col("section")
-    return bounded.select("doc_id", F.col("own.title").alias("heading"), full.alias("text"))
+    return bounded.select("doc_id", F.col("own.title").alias("heading"), _once(full).alias("text"))
 
 
 def good_enough(sections: DataFrame, min_words: int = MIN_SECTION_WORDS) -> DataFrame:

@@ -8,6 +8,7 @@ from dossierlake.functions import models as md, vectors as vx
 from dossierlake.functions.arrays import rows_of
 from dossierlake.operators import classify as cl, markup as mk, prompts as pr, search as se
 from dossierlake.plans import hybrid as hy
+from dossierlake.session import materialise
 
 
 def lane_chunks(chunks: DataFrame, lane: str) -> DataFrame:
@@ -38,13 +39,14 @@ def draft_sections(sections: DataFrame, chunks: DataFrame, lanes: dict, boilerpl
     cut = sections.select("section_id", "project_id", "title", "content", mk.guidance_segments(F.col("content")).alias("_s"))
     guided = F.exists("_s", lambda s: s["type"] == "guidance")
     kept = cut.filter(~guided).select("section_id", "content", F.lit(None).cast("string").alias("lane"), F.lit(None).cast("string").alias("method"))
-    classified = cl.cascade(cut.filter(guided).select("section_id", "project_id", "title", "_s"), boilerplate, lanes, embedder, ask).persist()
+    # Written tables between the stages keep the later plans small and each model call single.
+    classified = materialise(cl.cascade(cut.filter(guided).select("section_id", "project_id", "title", "_s"), boilerplate, lanes, embedder, ask))
     segments = rows_of(classified, F.col("_s"), "seg_no", "_x", ("section_id", "project_id", "title", "lane", "method")).select(
         "section_id", "project_id", "title", "lane", "method", "seg_no", F.col("_x.type").alias("type"), F.col("_x.content").alias("seg"))
     query_id = F.col("section_id") * 100_000 + F.col("seg_no")
     guidance = segments.filter(F.col("type") == "guidance").withColumn("query_id", query_id)
-    queries = guidance.withColumn("text", F.concat("title", F.lit(". "), "seg")).persist()
-    hits = lane_hits(queries, chunks, k, embedder).persist()
+    queries = guidance.withColumn("text", F.concat("title", F.lit(". "), "seg"))
+    hits = materialise(lane_hits(queries, chunks, k, embedder))
     contexts = se.context(hits, queries.filter(F.col("lane") != cl.BOILERPLATE))
     prompted = queries.join(contexts, "query_id", "left")
     prompt = pr.section_prompt(F.col("title"), F.col("seg"), F.col("context"), F.lit(steer))
