@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,18 +26,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(term: str, dim: int) -> tuple[int, int]:
-    h = int(hashlib.md5(term.encode("utf-8")).hexdigest()[:8], 16)
-    return h % dim, 1 if (h // dim) % 2 == 0 else -1
+# Word places already worked out by this worker.
+_SLOTS: dict[tuple[str, int], tuple[int, int]] = {}
+_SLOTS_MAX = 1 << 18
 
 
 def hashed_vectors(texts: list[str], dim: int = HASH_DIM) -> list[list[float]]:
     """Deterministic stand-in for an embedding model: signed hashed word counts."""
+    if len(_SLOTS) > _SLOTS_MAX:
+        _SLOTS.clear()
     out = np.zeros((len(texts), dim), dtype=np.float32)
     for row, text in enumerate(texts):
         for term in text.lower().split():
-            slot, sign = _slot(term, dim)
+            if (term, dim) not in _SLOTS:
+                h = int(hashlib.md5(term.encode("utf-8")).hexdigest()[:8], 16)
+                _SLOTS[term, dim] = (h % dim, 1 if (h // dim) % 2 == 0 else -1)
+            slot, sign = _SLOTS[term, dim]
             out[row, slot] += sign
     return list(out)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import models as md, text as tx, vectors as vx, vocabulary as vo
 from dossierlake.operators import (chunking as ck, classify as cl, conversations as cv, extraction as ex, markup as mk,
-                                   projects as pj, registry as rg, search as se)
+                                   projects as pj, prompts as pr, registry as rg, search as se)
 from dossierlake.plans import drafting as dr, fallback as fb, hybrid as hy, summarising as sm
 from dossierlake.streaming import idle_state as st, ingest as si
 
@@ -261,3 +261,13 @@ def test_job_status_stream(spark, tmp_path):
     spark.sql("SELECT 1L job_id, 2L event_id, timestamp'2024-01-01 00:00:09' ts, 'done' status, 2L current, 2 total").write.mode("append").parquet(src)
     run()
     assert [(r.job_id, r.status) for r in spark.read.parquet(out).collect()] == [(1, "done")]
+
+
+def test_long_histories_stay_whole_in_prompts(spark):
+    turns = spark.range(900).select(F.lit(1).alias("conv_id"), (F.col("id") * 60).alias("ts"), (F.col("id") % 2).alias("part"),
+                                    F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    asked = spark.createDataFrame([(1, "et alors ?"), (2, "bonjour")], "conv_id int, message string")
+    rows = pr.message_blocks(cv.history(turns, block=200), asked, "règles").orderBy("conv_id", "block_no").collect()
+    first = [m for r in rows if r.conv_id == 1 for m in r.messages]
+    assert [m.content for m in first] == ["règles", *[str(i) for i in range(900)], "et alors ?"] and first[0].role == "system"
+    assert [m.content for r in rows if r.conv_id == 2 for m in r.messages] == ["règles", "bonjour"]

@@ -359,13 +359,12 @@ def prm_build(spark, sf):
 
 @query("prm_messages", q.with_([fx.TURNS, "h AS (SELECT conv_id, string_agg(role || '=' || text, '|' ORDER BY ts, part) AS h FROM turns GROUP BY 1)",
   "c AS (SELECT DISTINCT conv_id FROM conversations)"], """
-SELECT conv_id, concat_ws('|', 'system=règles', h, 'user=question ' || conv_id) AS messages FROM c LEFT JOIN h USING (conv_id)"""))
+SELECT conv_id, 0::BIGINT AS block_no, concat_ws('|', 'system=règles', h, 'user=question ' || conv_id) AS messages FROM c LEFT JOIN h USING (conv_id)"""))
 def prm_messages(spark, sf):
-    past = cv.history(fx.turns(spark, sf)).filter("block_no = 0").withColumn(
-        "messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))))
-    convs = fx.table(spark, sf, "conversations").select("conv_id").distinct().join(past, "conv_id", "left")
-    full = pr.messages(F.lit("règles"), F.col("messages"), F.concat(F.lit("question "), F.col("conv_id").cast("string")))
-    return convs.select("conv_id", F.array_join(F.transform(full, lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").alias("messages"))
+    asked = fx.table(spark, sf, "conversations").select("conv_id").distinct().withColumn(
+        "message", F.concat(F.lit("question "), F.col("conv_id").cast("string")))
+    full = pr.message_blocks(cv.history(fx.turns(spark, sf)), asked, "règles")
+    return full.select("conv_id", "block_no", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").alias("messages"))
 
 
 @query("prm_comparison", """
