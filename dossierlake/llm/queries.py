@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossierlake.llm import minhash
+from dossierlake.llm import exact, leaks, minhash, ring
 from dossierlake.llm import sql
 
 QUERIES, ORACLES = {}, {}
@@ -28,3 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicate_classes(table(spark, sf_dir, "documents"), shingle_words=2)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op3_ring_sharding")
+def ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.place(ring.sized(table(spark, sf_dir, "documents")), shards=16)
+    return placed.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_benchmark_decontamination", sql.LEAKS)
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
+    hit = F.size(F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["word"], m["word"] + m["n_words"] - 1)))))
+    return found.select(
+        "row.doc_id", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+@query("op10_exact_dedup", sql.EXACT)
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"))

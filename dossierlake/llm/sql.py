@@ -19,3 +19,35 @@ r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y =
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = w.doc_id
 """
+
+# Windows as joined strings, looked up by equality.
+LEAKS = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE
+    list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i:i + 9], ' ')) END) AS x FROM b),
+n AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM d, n WHERE len(ws) >= n),
+h AS (
+  SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON bw.n = dw.n AND bw.x = array_to_string(ws[i:i + dw.n - 1], ' ')),
+hits AS (SELECT doc_id, count(DISTINCT w) AS k FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM h) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS k, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(hits.k, 0)::BIGINT AS n_hit, coalesce(items.k, 0)::BIGINT AS n_items,
+  sha256(coalesce(items.names, '')) AS items_sha256, coalesce(hits.k, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+EXACT = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY bare ORDER BY chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+"""
