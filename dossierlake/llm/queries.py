@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossierlake.llm import exact, leaks, minhash, ring
+from dossierlake.llm import exact, leaks, minhash, mixing, ring, toxicity
 from dossierlake.llm import sql
 
 QUERIES, ORACLES = {}, {}
@@ -49,3 +49,17 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_exact_dedup", sql.EXACT)
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(4, 2))
+    return toxicity.score(docs, model).select(F.col("row.doc_id").alias("doc_id"), "score").select(
+        "doc_id", toxicity.held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_temperature_mixing")
+def temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = mixing.mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.col("source"), most_repeats=4.0)
+    return used.select("row.doc_id", "row.source", "n_tokens", "epoch", "place", "weight")
