@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossierlake.llm import exact, leaks, minhash, mixing, ring, toxicity
+from dossierlake.llm import boilerplate, exact, langid, leaks, minhash, mixing, ring, toxicity
 from dossierlake.llm import sql
 
 QUERIES, ORACLES = {}, {}
@@ -63,3 +63,17 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = mixing.mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.col("source"), most_repeats=4.0)
     return used.select("row.doc_id", "row.source", "n_tokens", "epoch", "place", "weight")
+
+
+@query("op1_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    away = toxicity.held_out(5, 0)
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs, ~away))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").select("doc_id", away.alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = boilerplate.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
