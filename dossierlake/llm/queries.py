@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossierlake.llm import boilerplate, exact, langid, leaks, minhash, mixing, ring, toxicity
+from dossierlake.llm import boilerplate, exact, langid, leaks, licences, minhash, mixing, ring, toxicity
 from dossierlake.llm import sql
 
 QUERIES, ORACLES = {}, {}
@@ -77,3 +77,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = boilerplate.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op8_licence_scan", sql.licences())
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", F.explode("matches").alias("m")).select(
+        "doc_id", "m.licence", F.array_join("m.sentences", " ").alias("sentences"), F.col("m.first").cast("long").alias("first"), F.col("m.last").cast("long").alias("last"))
