@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossierlake.llm import boilerplate, exact, langid, leaks, licences, minhash, mixing, ring, toxicity
+from dossierlake.llm import boilerplate, exact, langid, leaks, licences, minhash, mixing, repeats, ring, toxicity
 from dossierlake.llm import sql
 
 QUERIES, ORACLES = {}, {}
@@ -84,3 +84,11 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", F.explode("matches").alias("m")).select(
         "doc_id", "m.licence", F.array_join("m.sentences", " ").alias("sentences"), F.col("m.first").cast("long").alias("first"), F.col("m.last").cast("long").alias("last"))
+
+
+@query("op4_repeated_passages", sql.REPEATS)
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated(table(spark, sf_dir, "documents"))
+    count = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["n_words"])
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["first"], s["n_words"])), " ")
+    return found.select("doc_id", listed("spans").alias("spans"), count("spans").alias("n_repeated"), listed("copies").alias("copies"), count("copies").alias("n_copied"))

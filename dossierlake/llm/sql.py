@@ -77,3 +77,21 @@ h AS (SELECT doc_id, k, rules.n, licence, rules.ids, first, last FROM r JOIN rul
 SELECT doc_id, licence, ids AS sentences, first, last FROM h
 WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.k <= h.k AND o.k + o.n >= h.k + h.n AND o.n > h.n)
 """
+
+# Every passage of 50 words as a string, by equality.
+REPEATS = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (
+  SELECT doc_id, i - 1 AS i, md5(array_to_string(ws[i:i + 49], ' ')) AS x
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1 AS again, count(*) OVER (PARTITION BY x) AS n FROM p),
+k AS (SELECT doc_id, i, 'spans' AS kind FROM r WHERE n > 1 UNION ALL SELECT doc_id, i, 'copies' FROM r WHERE again),
+g AS (SELECT doc_id, kind, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, kind ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM k),
+h AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, kind ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, kind, min(i) AS first, max(i) + 50 - min(i) AS n FROM h GROUP BY doc_id, kind, run),
+t AS (SELECT doc_id, kind, string_agg(first || '+' || n, ' ' ORDER BY first) AS list, sum(n)::BIGINT AS n FROM s GROUP BY doc_id, kind)
+SELECT a.doc_id, a.list AS spans, a.n AS n_repeated, coalesce(b.list, '') AS copies, coalesce(b.n, 0)::BIGINT AS n_copied
+FROM t a LEFT JOIN t b ON b.doc_id = a.doc_id AND b.kind = 'copies' WHERE a.kind = 'spans'
+"""
