@@ -35,16 +35,17 @@ def _best_ratio(title: str, matchers: list, coverage: bool) -> float:
 
 
 def _score_lists(titles: pd.Series, pools: pd.Series, coverage: bool, zero: frozenset) -> pd.Series:
+    """Scores of each row's titles against its candidates; a null title scores 0, null candidates are left out."""
     prepared: dict = {}
     known: dict = {}
     out = []
     for row, pool in zip(titles, pools):
-        pool = tuple(pool)
+        pool = tuple(p for p in pool if p is not None)
         if pool not in prepared:
             prepared[pool] = _matchers(pool)
         scores = []
         for title in row:
-            if title in zero:
+            if title is None or title in zero:
                 scores.append(0.0)
                 continue
             if (title, pool) not in known:

@@ -86,3 +86,18 @@ def sentences(col: Column, min_chars: int = 10) -> Column:
     cut = rf"(?<=[.!?]){WS}+(?=[A-Z\x{{c0}}-\x{{178}}\[])"
     trimmed = F.transform(F.split(col, cut), lambda s: strip(s))
     return F.filter(trimmed, lambda s: F.length(s) > min_chars)
+
+
+# Decimal digits of other scripts that number headings and chapters, each set from 0 to 9.
+_DIGIT_ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xFF10)
+
+
+def ascii_digits(col: Column) -> Column:
+    """Arabic, Persian, Devanagari, Bengali and full-width digits as 0-9."""
+    return F.translate(col, "".join(chr(z + d) for z in _DIGIT_ZEROS for d in range(10)), "0123456789" * len(_DIGIT_ZEROS))
+
+
+def greater_number(a: Column, b: Column) -> Column:
+    """Whether the digits `a` are a greater number than the digits `b`, however many there are."""
+    x, y = F.ltrim(ascii_digits(a), F.lit("0")), F.ltrim(ascii_digits(b), F.lit("0"))
+    return (F.length(x) > F.length(y)) | ((F.length(x) == F.length(y)) & (x > y))

@@ -80,24 +80,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -
     Queries are handed to the tasks one block at a time, each task keeps `k` candidates
     per query, and the vectors never move. The caller ranks the few candidates left.
     """
+    kind = dict(queries.dtypes)["query_id"]
     parts = []
     pending: list = []
     rows = queries.select("query_id", "embedding").toLocalIterator()
     for row in rows:
         pending.append(row)
         if len(pending) == block:
-            parts.append(_nearest_block(vectors, pending, k))
+            parts.append(_nearest_block(vectors, pending, k, kind))
             pending = []
     if pending or not parts:
-        parts.append(_nearest_block(vectors, pending, k))
+        parts.append(_nearest_block(vectors, pending, k, kind))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _nearest_block(vectors: DataFrame, block: list, k: int) -> DataFrame:
-    ids = np.array([r.query_id for r in block], dtype=np.int64)
+def _nearest_block(vectors: DataFrame, block: list, k: int, kind: str) -> DataFrame:
+    ids = [r.query_id for r in block]
     q = _unit(np.array([r.embedding for r in block], dtype=np.float64)) if block else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +117,9 @@ def _nearest_block(vectors: DataFrame, block: list, k: int) -> DataFrame:
         if best is not None:
             width = best[0].shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, width)), pa.array(best[1].ravel().astype(np.int64)),
+                [pa.array([i for i in ids for _ in range(width)], pa.string() if kind == "string" else pa.int64()), pa.array(best[1].ravel().astype(np.int64)),
                  pa.array(best[2].ravel().astype(np.int32)), pa.array(best[0].ravel())],
                 names=["query_id", "doc_id", "chunk_index", "cosine"])
 
-    schema = "query_id bigint, doc_id bigint, chunk_index int, cosine double"
+    schema = f"query_id {kind if kind == 'string' else 'bigint'}, doc_id bigint, chunk_index int, cosine double"
     return vectors.select("doc_id", "chunk_index", "embedding").mapInArrow(scan, schema)

@@ -7,8 +7,10 @@ evaluated the word lists again inside the lambdas; hence the one pandas UDF.
 
 from __future__ import annotations
 
+import functools
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,35 +29,34 @@ _CUT = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Ÿ\[])")
 
 
 def _windows(text: str, budget: int, overlap: int):
-    """Texts of the packed windows of one document, in order."""
-    window: list[str] = []
-    size = 0
-    for piece in _CUT.split(text):
-        sentence = piece.strip()
-        if len(sentence) <= MIN_SENTENCE_CHARS:
-            continue
-        n = len(sentence.split())
-        if window and size + n > budget:
-            packed = " ".join(window)
-            yield packed
-            window = packed.split()[-overlap:] if overlap else []
-            size = len(window)
-        window.append(sentence)
-        size += n
-    if window:
-        yield " ".join(window)
+    """Texts of the packed windows of one document, in order.
+
+    The running word counts of the sentences say how far a window reaches; the words carried over from the window
+    before take up part of its budget. A sentence that does not fit beside them leaves them a window of their own.
+    """
+    sentences = [s for s in map(str.strip, _CUT.split(text)) if len(s) > MIN_SENTENCE_CHARS]
+    ends = np.cumsum([0, *(len(s.split()) for s in sentences)])
+    first, carried = 0, []
+    while first < len(sentences):
+        last = int(np.searchsorted(ends, ends[first] + budget - len(carried), side="right")) - 1
+        if last <= first:
+            last = first + 1
+            if carried:
+                yield " ".join(carried)
+        window = " ".join([*carried, *sentences[first:last]])
+        yield window
+        first, carried = last, window.split()[-overlap:] if overlap else []
+
+
+@functools.cache
+def _cuts(limit: int) -> re.Pattern:
+    """A rest that fits, or the longest piece that ends before a space, or a piece cut at the limit."""
+    return re.compile(rf"(.{{1,{limit}}}\Z|.{{1,{limit - 1}}}(?= )|.{{{limit}}})\s*", re.S)
 
 
 def _within(text: str, limit: int):
     """The text in pieces of at most `limit` characters, cut at a space where there is one."""
-    rest = text
-    while len(rest) > limit:
-        space = rest.rfind(" ", 0, limit)
-        at = limit if space < 0 else space
-        yield rest[:at].strip()
-        rest = rest[at:].strip()
-    if rest:
-        yield rest
+    return (m[1].strip() for m in _cuts(limit).finditer(text))
 
 
 def chunk_list(col: Column, budget: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS,

@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake.functions import similarity as sim, vectors as vx
+from dossierlake.session import materialise
 
 # Thresholds and lane names.
 BOILERPLATE_RATIO = 0.6
@@ -114,16 +115,16 @@ def cascade(titles: DataFrame, boilerplate: list[str], lanes: dict[str, list[flo
             ask: Callable[[list[str]], list[str]] | None = None, title: str = "title") -> DataFrame:
     """Adds lane, method and confidence: dictionary, then centroids, then `ask` for what is left.
 
-    Rows settled by an early stage never reach a later one. Without `ask` ambiguous titles
-    count as reusable.
+    Each distinct title is judged once, and titles settled by an early stage never reach a later one. Without `ask`
+    ambiguous titles count as reusable. A null title is similar to nothing and counts as an empty ambiguous one.
     """
-    marked = titles.withColumn("_b", is_boilerplate(F.col(title), boilerplate))
-    fixed = marked.filter("_b").drop("_b").select(
-        "*", F.lit(BOILERPLATE).alias("lane"), F.lit("dict").alias("method"), F.lit(None).cast("double").alias("confidence"))
-    open_titles = marked.filter("NOT _b").drop("_b").withColumn("_e", vx.embed(F.col(title), model))
-    near = nearest_lane(open_titles, lanes, "_e").drop("_e")
-    clear = near.filter(F.col("lane").isNotNull())
-    unclear = near.filter(F.col("lane").isNull())
+    distinct = titles.select(F.coalesce(title, F.lit("")).alias("_title")).distinct()
+    # Written between the stages, so no model or similarity runs again in another branch.
+    marked = materialise(distinct.withColumn("_b", F.coalesce(is_boilerplate(F.col("_title"), boilerplate), F.lit(False))))
+    fixed = marked.filter("_b").select("_title", F.lit(BOILERPLATE).alias("lane"), F.lit("dict").alias("method"), F.lit(None).cast("double").alias("confidence"))
+    embedded = materialise(marked.filter("NOT _b").select("_title", vx.embed(F.col("_title"), model).alias("_e")))
+    near = nearest_lane(embedded, lanes, "_e").drop("_e")
+    clear, unclear = near.filter(F.col("lane").isNotNull()), near.filter(F.col("lane").isNull())
     if ask is None:
         answer = F.lit("")
     else:
@@ -131,9 +132,10 @@ def cascade(titles: DataFrame, boilerplate: list[str], lanes: dict[str, list[flo
         def asked(parts: pd.Series) -> pd.Series:
             return pd.Series(ask(parts.tolist()))
 
-        answer = asked(F.col(title))
+        answer = asked(F.col("_title"))
     settled = unclear.withColumn("lane", answered_lane(answer)).withColumn("method", F.lit("llm_fallback"))
-    return fixed.unionByName(clear).unionByName(settled)
+    judged = fixed.unionByName(clear).unionByName(settled)
+    return titles.withColumn("_title", F.coalesce(title, F.lit(""))).join(judged, "_title").drop("_title")
 
 
 def label_counts(rows: DataFrame, actual: str = "label", predicted: str = "lane") -> DataFrame:

@@ -70,7 +70,7 @@ def section_by_number(pieces: Column, number: Column) -> Column:
     own = F.array_position(F.transform(pieces, lambda p: F.coalesce(p["number"], F.lit(""))), number).cast("int")
     after = F.slice(pieces, own + 1, F.size(pieces))
     beyond = F.transform(after, lambda p: F.coalesce(
-        (p["number"].cast("decimal(38,0)") > number.cast("decimal(38,0)")) & ~F.startswith(p["number"], number), F.lit(False)))
+        tx.greater_number(p["number"], number) & ~F.startswith(p["number"], number), F.lit(False)))
     n = F.array_position(beyond, True).cast("int")
     took = F.slice(pieces, own, F.when(n > 0, n).otherwise(F.size(pieces)))
     return F.when(own > 0, tx.strip(F.array_join(F.transform(took, lambda p: p["piece"]), "")))

@@ -115,44 +115,48 @@ def markdown_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     return shaped.withColumn("kind", kind).select("doc_id", "line_no", "kind", content.alias("content"))
 
 
-_STRONG = re.compile(r"\*\*(.+?)\*\*")
-_EMPHASIS = (re.compile(r"\*([^*\n]+?)\*"), re.compile(r"_([^_\n]+?)_"))
+# Bold text, and the two ways of writing italics.
+_BOLD = r"(?d)\*\*(.+?)\*\*"
+_ITALICS = (r"\*([^*\n]+?)\*", r"_([^_\n]+?)_")
+_RUNS = "array<struct<text:string,bold:boolean,italic:boolean>>"
 
 
-def _spans(line: str) -> list[dict]:
-    """Runs of one line: bold first, italics in what is left, overlapping italics dropped."""
-    runs: list[dict] = []
+def _run(text: Column, bold: bool = False, italic: bool = False) -> Column:
+    return F.array(F.struct(text.alias("text"), F.lit(bold).alias("bold"), F.lit(italic).alias("italic")))
 
-    def put(text: str, bold: bool = False, italic: bool = False):
-        if text:
-            runs.append({"text": text, "bold": bold, "italic": italic})
 
-    def plain(text: str):
-        done = 0
-        for m in sorted((m for p in _EMPHASIS for m in p.finditer(text)), key=re.Match.start):
-            if m.start() >= done:
-                put(text[done:m.start()])
-                put(m[1], italic=True)
-                done = m.end()
-        put(text[done:])
+def _places(text: Column, pattern: str) -> Column:
+    """array<struct<start, match>>: every match and its 0-based place, from the lengths of what comes before it."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    ahead = lambda i: F.length(F.array_join(F.slice(between, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(found, F.lit(1), i), ""))
+    return F.transform(found, lambda m, i: F.struct(ahead(i).alias("start"), m.alias("match")))
 
-    done = 0
-    for m in _STRONG.finditer(line):
-        plain(line[done:m.start()])
-        put(m[1], bold=True)
-        done = m.end()
-    plain(line[done:])
-    return runs
 
+def _emphasised(text: Column) -> Column:
+    """Runs of a text without bold parts. Both ways of italics are found on their own; of two that overlap the first counts."""
+    both = F.array_sort(F.concat(*[_places(text, p) for p in _ITALICS]))
+    start = F.struct(F.lit(0).alias("done"), F.array().cast(_RUNS).alias("runs"))
+
+    def take(state: Column, m: Column) -> Column:
+        plain = _run(F.substring(text, state["done"] + 1, m["start"] - state["done"]))
+        more = F.concat(state["runs"], plain, _run(F.substring(m["match"], F.lit(2), F.length(m["match"]) - 2), italic=True))
+        taken = F.struct((m["start"] + F.length(m["match"])).alias("done"), more.alias("runs"))
+        return F.when(m["start"] >= state["done"], taken).otherwise(state)
+
+    return F.aggregate(both, start, take, lambda s: F.concat(s["runs"], _run(F.substring(text, s["done"] + 1, F.length(text)))))
 
-def inline_runs(blocks: DataFrame, content: str = "content") -> DataFrame:
-    """(doc_id, line_no, run_no, text, bold, italic)."""
 
-    @F.pandas_udf("array<struct<text:string,bold:boolean,italic:boolean>>")
-    def parse(lines: pd.Series) -> pd.Series:
-        return lines.fillna("").map(_spans)
+def runs(line: Column) -> Column:
+    """array<struct<text, bold, italic>> of a line: bold is cut out first, italics in what is left."""
+    bold = F.transform(F.regexp_extract_all(line, F.lit(_BOLD), F.lit(0)), lambda m: _run(F.substring(m, F.lit(3), F.length(m) - 4), bold=True))
+    rest = F.transform(F.split(line, _BOLD, -1), lambda t: _emphasised(t))
+    woven = F.flatten(F.zip_with(rest, bold, lambda r, b: F.concat(r, F.coalesce(b, F.array().cast(_RUNS)))))
+    return F.filter(woven, lambda r: r["text"] != "")
 
-    rows = rows_of(blocks.select("doc_id", "line_no", parse(content).alias("_r")), F.col("_r"), "run_no", "_x", ("doc_id", "line_no"))
+
+def inline_runs(blocks: DataFrame, content: str = "content") -> DataFrame:
+    """(doc_id, line_no, run_no, text, bold, italic)."""
+    rows = rows_of(blocks.select("doc_id", "line_no", runs(F.coalesce(content, F.lit(""))).alias("_r")), F.col("_r"), "run_no", "_x", ("doc_id", "line_no"))
     return rows.select("doc_id", "line_no", "run_no", "_x.text", "_x.bold", "_x.italic")
 
 
@@ -171,7 +175,9 @@ def with_annex(col: Column) -> Column:
     """The plan with a closing annex chapter, unless a top-level title already names one."""
     top = F.lit(rf"(?dm)^{tx.WS}*(\p{{Nd}}+)\.{tx.WS}+(.+)$")
     numbers, titles = F.regexp_extract_all(col, top, F.lit(1)), F.regexp_extract_all(col, top, F.lit(2))
-    following = F.coalesce(F.try_element_at(numbers, F.lit(-1)).cast("long") + 1, F.lit(1))
+    # A number beyond 37 digits is followed by the number of chapters.
+    last = tx.ascii_digits(F.try_element_at(numbers, F.lit(-1))).try_cast("decimal(37,0)")
+    following = F.coalesce(last, F.size(numbers).cast("decimal(37,0)")) + 1
     added = F.concat(F.rtrim(col, F.lit(tx.SPACE_CHARS)), F.lit("\n"), following.cast("string"), F.lit(f". {ANNEX}\n"))
     return F.when(F.exists(titles, lambda t: F.contains(F.lower(t), F.lit("annexe"))), col).otherwise(added)
 

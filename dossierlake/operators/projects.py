@@ -8,13 +8,12 @@ from dossierlake.session import broadcast_if_small
 
 DEFAULT_STATUS = "active"
 PATCHABLE = ("name", "client_name", "status")
-BLOCK = 1000
 
 
-def nested_documents(docs: DataFrame, block: int = BLOCK, fields: tuple[str, ...] = ("doc_id", "doc_type")) -> DataFrame:
+def nested_documents(docs: DataFrame, block: int, fields: tuple[str, ...] = ("doc_id", "doc_type")) -> DataFrame:
     """(project_id, block_no, n_documents, documents[]): nested rows in blocks of about `block`.
 
-    A project of any size is spread over as many rows as it needs; nobody collects it whole.
+    For callers who want lists: a project of any size is spread over as many rows as it needs.
     """
     counts = docs.groupBy("project_id").agg(F.count("*").alias("n_documents"))
     sized = docs.join(counts, "project_id")
@@ -25,18 +24,16 @@ def nested_documents(docs: DataFrame, block: int = BLOCK, fields: tuple[str, ...
         F.array_sort(F.collect_list(F.struct(*fields))).alias("documents"))
 
 
-def list_projects(projects: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Projects, newest first, with nested documents (empty when there are none)."""
-    nested = nested_documents(docs, block)
-    out = projects.join(nested, "project_id", "left")
-    return out.select(
-        *projects.columns, F.coalesce("block_no", F.lit(0)).alias("block_no"),
-        F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "documents",
-    ).orderBy(F.desc("created_at"), "project_id", "block_no")
+def list_projects(projects: DataFrame, docs: DataFrame) -> DataFrame:
+    """Projects, newest first, with one row per document (nulls where there are none) and their number."""
+    counts = docs.groupBy("project_id").agg(F.count("*").alias("n_documents"))
+    counted = projects.join(counts, "project_id", "left").join(docs.select("project_id", "doc_id", "doc_type"), "project_id", "left")
+    return counted.select(*projects.columns, F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "doc_id", "doc_type").orderBy(
+        F.desc("created_at"), "project_id", "doc_id")
 
 
 def get_projects(projects: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The requested projects with nested documents; the id filter goes below the nesting."""
+    """The requested projects with their documents; the id filter goes below the joins."""
     wanted = broadcast_if_small(ids.select("project_id").distinct())
     return list_projects(projects.join(wanted, "project_id", "left_semi"), docs.join(wanted, "project_id", "left_semi"))
 

@@ -27,7 +27,9 @@ PAGE_MARKER = rf"(?i)<!--{tx.WS}*page{tx.WS}+\p{{Nd}}+{tx.WS}*-->"
 
 
 def numbers(dotted: Column) -> Column:
-    return F.split(dotted, r"\.").cast("array<bigint>")
+    """The parts of a dotted number; null where one does not fit 64 bits, as it is then compared with nothing."""
+    parts = F.transform(F.split(tx.ascii_digits(dotted), r"\."), lambda p: p.try_cast("bigint"))
+    return F.when(F.forall(parts, lambda p: p.isNotNull()), parts)
 
 
 def numeric_prefix(title: Column) -> Column:

@@ -27,10 +27,11 @@ def lane_hits(queries: DataFrame, chunks: DataFrame, k: int = se.TOP_K, model=vx
     return hy.with_text(memoire.unionByName(programme), chunks.select("doc_id", "chunk_index", "text", "file_name"))
 
 
-def draft_sections(sections: DataFrame, chunks: DataFrame, lanes: dict, boilerplate: list[str], model=md.leading_words,
+def draft_sections(sections: DataFrame, chunks: DataFrame, lanes: dict, boilerplate: list[str], model=md.digest,
                    embedder=vx.hashed_vectors, ask=None, steer: str = "", k: int = se.TOP_K,
                    max_tokens: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(filled, sources) for sections(section_id, project_id, title, content).
+    """(filled, sources) for sections(section_id, project_id, title, content); a failed model call leaves its segment
+    empty and its error in the row.
 
     Sections without guidance keep their text. The others are classified; each guidance
     segment is searched in its lane and written from what was found; segments come together
@@ -38,12 +39,13 @@ def draft_sections(sections: DataFrame, chunks: DataFrame, lanes: dict, boilerpl
     """
     cut = sections.select("section_id", "project_id", "title", "content", mk.guidance_segments(F.col("content")).alias("_s"))
     guided = F.exists("_s", lambda s: s["type"] == "guidance")
-    kept = cut.filter(~guided).select("section_id", "content", F.lit(None).cast("string").alias("lane"), F.lit(None).cast("string").alias("method"))
+    kept = cut.filter(~guided).select("section_id", "content", F.lit(None).cast("string").alias("lane"), F.lit(None).cast("string").alias("method"),
+                                        F.lit(None).cast("string").alias("error"))
     # Written tables between the stages keep the later plans small and each model call single.
     classified = materialise(cl.cascade(cut.filter(guided).select("section_id", "project_id", "title", "_s"), boilerplate, lanes, embedder, ask))
     segments = rows_of(classified, F.col("_s"), "seg_no", "_x", ("section_id", "project_id", "title", "lane", "method")).select(
         "section_id", "project_id", "title", "lane", "method", "seg_no", F.col("_x.type").alias("type"), F.col("_x.content").alias("seg"))
-    query_id = F.col("section_id") * 100_000 + F.col("seg_no")
+    query_id = F.concat_ws(":", F.col("section_id").cast("string"), F.col("seg_no").cast("string"))
     guidance = segments.filter(F.col("type") == "guidance").withColumn("query_id", query_id)
     queries = guidance.withColumn("text", F.concat("title", F.lit(". "), "seg"))
     hits = materialise(lane_hits(queries, chunks, k, embedder))
@@ -51,11 +53,12 @@ def draft_sections(sections: DataFrame, chunks: DataFrame, lanes: dict, boilerpl
     prompted = queries.join(contexts, "query_id", "left")
     prompt = pr.section_prompt(F.col("title"), F.col("seg"), F.col("context"), F.lit(steer))
     written = prompted.withColumn("_r", md.generate(prompt, model, 0.3, max_tokens)).select(
-        "section_id", "lane", "method", "seg_no", F.coalesce(F.trim("_r.content"), F.lit("")).alias("seg"))
-    plain = segments.filter(F.col("type") == "text").select("section_id", "lane", "method", "seg_no", "seg")
+        "section_id", "lane", "method", "seg_no", F.coalesce(F.trim("_r.content"), F.lit("")).alias("seg"), F.col("_r.error").alias("error"))
+    plain = segments.filter(F.col("type") == "text").select("section_id", "lane", "method", "seg_no", "seg", F.lit(None).cast("string").alias("error"))
     ordered = F.array_sort(F.collect_list(F.struct("seg_no", "seg")))
     filled = written.unionByName(plain).groupBy("section_id").agg(
-        F.array_join(F.transform(ordered, lambda s: s["seg"]), "\n\n").alias("content"), F.first("lane").alias("lane"), F.first("method").alias("method"))
-    sources = se.source_records(hits).withColumn("section_id", F.floor(F.col("query_id") / 100_000)).select(
-        "section_id", "query_id", "rank", "doc_id", "chunk_index", "lane", "hybrid_score")
-    return kept.unionByName(filled.select("section_id", "content", "lane", "method")), sources
+        F.array_join(F.transform(ordered, lambda s: s["seg"]), "\n\n").alias("content"), F.first("lane").alias("lane"), F.first("method").alias("method"),
+        F.min("error").alias("error"))
+    sources = se.source_records(hits).join(queries.select("query_id", "section_id", "seg_no"), "query_id").select(
+        "section_id", "seg_no", "rank", "doc_id", "chunk_index", "file_name", "lane", "hybrid_score")
+    return kept.unionByName(filled.select("section_id", "content", "lane", "method", "error")), sources

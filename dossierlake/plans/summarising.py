@@ -10,7 +10,7 @@ from dossierlake.operators import chunking as ck, prompts as pr
 MAP_TOKENS, REDUCE_TOKENS = 600, 1800
 
 
-def summarise(docs: DataFrame, model=md.leading_words, text: str = "text", emphasis: Column | None = None,
+def summarise(docs: DataFrame, model=md.digest, text: str = "text", emphasis: Column | None = None,
               budget: int = ck.SUMMARY_WORDS, map_tokens: int = MAP_TOKENS, reduce_tokens: int = REDUCE_TOKENS) -> DataFrame:
     """(doc_id, n_parts, summary, error).
 

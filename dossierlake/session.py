@@ -44,7 +44,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    Only where `spark.checkpoint.dir` is unset (tests, local runs) is one created here.
+    A local session may leave `spark.checkpoint.dir` unset and gets one; on a cluster it must be set.
     """
     root = checkpoint_root(spark)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -52,6 +52,8 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
 
 def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = spark.conf.get("dossierlake.local.checkpoint.dir", None)
     if not root:

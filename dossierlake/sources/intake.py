@@ -73,7 +73,8 @@ def heading_level(style: Column) -> Column:
     """1-9 from a style named `Heading N` or `Titre N`; null for other styles."""
     level = F.coalesce(F.nullif(F.regexp_extract(style, r"^Heading (\d+)$", 1), F.lit("")),
                        F.nullif(F.regexp_extract(style, rf"(?i)^titre{tx.WS}*(\d+)$", 1), F.lit("")))
-    return level.cast("int")
+    # Very long numbers are only deep levels.
+    return F.when(F.length(F.ltrim(level, F.lit("0"))) > 9, F.lit(999_999_999)).otherwise(level.try_cast("int"))
 
 
 def flatten_paragraphs(docs: DataFrame, paragraphs: str = "paragraphs") -> DataFrame:
@@ -135,7 +136,7 @@ def config_pages(rows: DataFrame) -> DataFrame:
     The last usable value of a label counts; both are dropped when they are in the wrong order.
     """
     label = F.coalesce(*[F.when(tx.strip(tx.fold_accents(F.col("a"))) == k, v) for k, v in PAGE_LABELS.items()])
-    number = F.expr("cast(try_cast(trim(b) as double) as int)")
+    number = F.expr("try_cast(try_cast(trim(b) as double) as int)")
     usable = rows.select("doc_id", "ord", label.alias("label"), number.alias("n")).filter((F.col("n") >= 1) & F.col("label").isNotNull())
     ends = {e: F.max_by(F.when(F.col("label") == e, F.col("n")), F.when(F.col("label") == e, F.col("ord"))) for e in ("page_start", "page_end")}
     found = usable.groupBy("doc_id").agg(*[c.alias(e) for e, c in ends.items()])

@@ -118,8 +118,10 @@ def test_nested_documents_of_a_huge_project_are_whole(spark):
 def test_history_blocks_are_whole_and_ordered(spark):
     turns = spark.range(3000).select(F.lit(1).alias("conv_id"), (F.col("id") * 60).alias("ts"), (F.col("id") % 2).alias("part"),
                                      F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
-    rows = cv.history(turns, block=200).orderBy("block_no").collect()
-    assert len(rows) > 5 and [int(m.text) for r in rows for m in r.messages] == list(range(3000))
+    rows = cv.history(turns).orderBy("message_no").collect()
+    assert [(r.message_no, int(r.text)) for r in rows] == [(i, i) for i in range(3000)]
+    lists = cv.history_lists(cv.history(turns), 200).orderBy("block_no").collect()
+    assert len(lists) == 15 and [int(m.text) for r in lists for m in r.messages] == list(range(3000))
 
 
 def test_pages_number_all_rows_once(spark):
@@ -180,8 +182,8 @@ def test_generate_reports_bad_prompts_as_rows(spark):
 
 def test_long_documents_are_summarised_in_order(spark):
     text = " ".join(f"Phrase {i} du document sans surprise." for i in range(300))
-    out = sm.summarise(spark.createDataFrame([(1, text), (2, "Une seule phrase courte.")], "doc_id long, text string"), budget=200, map_tokens=6,
-                       reduce_tokens=1000).collect()
+    out = sm.summarise(spark.createDataFrame([(1, text), (2, "Une seule phrase courte.")], "doc_id long, text string"),
+                       lambda prompts, t, most, schema: [" ".join(p.split()[:most]) for p in prompts], budget=200, map_tokens=6, reduce_tokens=1000).collect()
     by = {r.doc_id: r for r in out}
     assert by[2].n_parts == 1 and "Une seule phrase courte." in by[2].summary
     assert by[1].n_parts > 5
@@ -213,13 +215,79 @@ def test_drafts_keep_order_and_lanes(spark):
     sections = spark.createDataFrame(
         [(1, 5, "Moyens humains", "avant <<décris>> après"), (2, 5, "Analyse du site", "<<le site>>"), (3, 5, "Signature", "<<signe>>"), (4, 5, "Libre", "déjà écrit")],
         "section_id long, project_id long, title string, content string")
-    filled, sources = dr.draft_sections(sections, chunks, cl.exemplar_centroids(), ["signature"])
+    filled, sources = dr.draft_sections(sections, chunks, cl.exemplar_centroids(), ["signature"],
+                                        lambda prompts, *_: [" ".join(p.split()) for p in prompts])
     rows = {r.section_id: r for r in filled.collect()}
     assert rows[4].content == "déjà écrit" and rows[4].lane is None
     parts = rows[1].content.split("\n\n")
     assert parts[0] == "avant" and parts[-1] == "après" and rows[1].lane == "memoire"
     assert rows[3].lane == "boilerplate" and "Aucune information de référence" in rows[3].content
-    assert {(r.section_id, r.doc_id) for r in sources.collect()} == {(1, 1), (2, 2)}
+    assert {(r.section_id, r.seg_no, r.doc_id, r.file_name) for r in sources.collect()} == {(1, 1, 1, "1.pdf"), (2, 0, 2, "2.pdf")}
+    assert all(r.error is None for r in rows.values())
+
+
+def test_failed_drafts_keep_their_error_and_long_ids(spark):
+    chunks = spark.createDataFrame([("memoire", 1, 0, "moyens humains " * 30, 60, "memoire", None, "1.pdf")],
+                                   "corpus_key string, doc_id long, chunk_index int, text string, word_count int, doc_type string, project_id long, file_name string")
+    sections = spark.createDataFrame([(9_000_000_000_000_000_000, 5, "Moyens humains", "avant <<décris>>")], "section_id long, project_id long, title string, content string")
+
+    def broken(prompts, *_):
+        raise RuntimeError("down")
+
+    filled, sources = dr.draft_sections(sections, chunks, cl.exemplar_centroids(), [], broken)
+    row = filled.collect()[0]
+    assert row.error == "RuntimeError: down" and row.content.startswith("avant") and [r.section_id for r in sources.collect()] == [9_000_000_000_000_000_000]
+
+
+def test_bad_numbers_are_rows_not_failures(spark):
+    from dossierlake.operators import cleaning as cn, sections as sc
+    from dossierlake.sources import intake as it
+    long = "9" * 40
+    lines = [f"# {long} x", "# \u0663 x", "# 2.1 y", "# Article 7 z"]
+    heads = sc.headings(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).orderBy("heading_no").collect()
+    assert [r.number for r in heads] == [None, [3], [2, 1], [7]]
+    styles = spark.createDataFrame([("Heading 99999999999",), ("Titre 2",), ("Heading 007",), ("x",)], "s string")
+    assert [r[0] for r in styles.select(it.heading_level(F.col("s"))).collect()] == [999_999_999, 2, 7, None]
+    sheet = spark.createDataFrame([(1, 1, k, "1e12") for k in it.PAGE_LABELS], "doc_id long, ord int, a string, b string")
+    assert it.config_pages(sheet).count() == 0
+    plan = spark.createDataFrame([(f"{long}. a",), ("\u0664. a",), ("3. a",), ("x",)], "t string").select(mk.with_annex(F.col("t")).alias("p")).collect()
+    assert [r.p.split("\n")[1].split(".")[0] for r in plan] == ["2", "5", "4", "1"]
+    pieces = spark.createDataFrame([(f"\n# 5. a\n{'word ' * 3}\n# {long}. b\nc",)], "t string")
+    assert pieces.select(cn.section_by_number(cn.numbered_pieces(F.col("t")), F.lit("5")).alias("s")).count() == 1
+
+
+def test_cascade_judges_each_title_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def counted(texts):
+        with open(calls, "a") as f:
+            f.writelines(f"{len(t)}\n" for t in texts)
+        return vx.hashed_vectors(texts)
+
+    titles = spark.createDataFrame([(i, t) for i, t in enumerate(["Méthodologie", "Calendrier prévisionnel", None, "Signature"] * 5)], "id int, title string")
+    out = cl.cascade(titles, ["signature"], cl.exemplar_centroids(), counted, lambda parts: ["programme"] * len(parts))
+    rows = out.collect()
+    assert len(rows) == 20 and all(r.lane for r in rows) and len({(r.title, r.lane, r.method) for r in rows}) == 4
+    assert len(open(calls).read().split("\n")) - 1 == 3
+
+
+def test_each_question_is_rewritten_once(spark, tmp_path):
+    from dossierlake.plans import answering as an
+    calls = str(tmp_path / "calls")
+
+    def rewriter(prompts, *_):
+        with open(calls, "a") as f:
+            f.writelines("x\n" for _ in prompts)
+        return [p.split(" : ")[-1] for p in prompts]
+
+    words = " ".join(f"mot{i}" for i in range(40))
+    chunks = spark.createDataFrame([("k", d, 0, f"sujet{d} {words}", 41) for d in range(3)], "corpus_key string, doc_id long, chunk_index int, text string, word_count int")
+    files = spark.createDataFrame([(d, f"{d}.pdf") for d in range(3)], "doc_id long, file_name string")
+    asked = spark.createDataFrame([(i, i, "k", f"sujet{i % 3}") for i in range(7)], "query_id long, conv_id long, corpus_key string, text string")
+    turns = spark.createDataFrame([(i, 1, 0, "user", "avant") for i in range(5)], "conv_id long, ts long, part int, role string, text string")
+    answers, sources = an.answer(asked, turns, chunks, files, rewriter=rewriter)
+    assert answers.count() == 7 and sources.count() > 0 and answers.filter("error IS NOT NULL").count() == 0
+    assert len(open(calls).read().split()) == 5
 
 
 def test_where_treats_missing_keys(spark):
@@ -267,7 +335,7 @@ def test_long_histories_stay_whole_in_prompts(spark):
     turns = spark.range(900).select(F.lit(1).alias("conv_id"), (F.col("id") * 60).alias("ts"), (F.col("id") % 2).alias("part"),
                                     F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     asked = spark.createDataFrame([(1, "et alors ?"), (2, "bonjour")], "conv_id int, message string")
-    rows = pr.message_blocks(cv.history(turns, block=200), asked, "règles").orderBy("conv_id", "block_no").collect()
-    first = [m for r in rows if r.conv_id == 1 for m in r.messages]
-    assert [m.content for m in first] == ["règles", *[str(i) for i in range(900)], "et alors ?"] and first[0].role == "system"
-    assert [m.content for r in rows if r.conv_id == 2 for m in r.messages] == ["règles", "bonjour"]
+    rows = pr.message_rows(cv.history(turns), asked, "règles").orderBy("conv_id", "message_no").collect()
+    first = [r for r in rows if r.conv_id == 1]
+    assert [r.content for r in first] == ["règles", *[str(i) for i in range(900)], "et alors ?"] and first[0].role == "system"
+    assert [r.content for r in rows if r.conv_id == 2] == ["règles", "bonjour"]

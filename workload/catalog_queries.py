@@ -90,30 +90,23 @@ def cat_paginate(spark, sf):
     return rg.paginate(docs, [F.desc("n_chars"), F.col("doc_id")], rg.DOCUMENT_PAGE).select("doc_id", "position", "page_no")
 
 
-_NESTED = """nested AS (SELECT project_id, count(*) AS n_documents,
-  string_agg(doc_id || ':' || doc_type, ';' ORDER BY doc_id) AS documents FROM project_documents GROUP BY 1)"""
+_LISTED = """listed AS (SELECT p.project_id, name, client_name, strftime(created_at, '%Y-%m-%d') AS created_at,
+  count(doc_id) OVER (PARTITION BY p.project_id) AS n_documents, doc_id, doc_type FROM projects p LEFT JOIN project_documents d USING (project_id))"""
 
 
-def _flat(df):
-    docs = F.array_join(F.transform("documents", lambda d: F.concat_ws(":", d["doc_id"], d["doc_type"])), ";")
-    return df.select("project_id", "name", "client_name", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"),
-                     "block_no", "n_documents", docs.alias("documents"))
+def _listed(df):
+    return df.select("project_id", "name", "client_name", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"), "n_documents", "doc_id", "doc_type")
 
 
-@query("prj_list", q.with_([fx.PROJECTS, fx.PROJECT_DOCUMENTS, _NESTED], """
-SELECT project_id, name, client_name, strftime(created_at, '%Y-%m-%d') AS created_at, 0::BIGINT AS block_no,
-  coalesce(n_documents, 0) AS n_documents, documents FROM projects LEFT JOIN nested USING (project_id)"""))
+@query("prj_list", q.with_([fx.PROJECTS, fx.PROJECT_DOCUMENTS, _LISTED], "SELECT * FROM listed"))
 def prj_list(spark, sf):
-    return _flat(pj.list_projects(fx.projects(spark, sf), fx.project_documents(spark, sf)))
+    return _listed(pj.list_projects(fx.projects(spark, sf), fx.project_documents(spark, sf)))
 
 
-@query("prj_get", q.with_([fx.PROJECTS, fx.PROJECT_DOCUMENTS, _NESTED], """
-SELECT project_id, name, client_name, strftime(created_at, '%Y-%m-%d') AS created_at, 0::BIGINT AS block_no,
-  coalesce(n_documents, 0) AS n_documents, documents FROM projects LEFT JOIN nested USING (project_id)
-WHERE project_id IN (SELECT doc_id FROM labels)"""))
+@query("prj_get", q.with_([fx.PROJECTS, fx.PROJECT_DOCUMENTS, _LISTED], "SELECT * FROM listed WHERE project_id IN (SELECT doc_id FROM labels)"))
 def prj_get(spark, sf):
     asked = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("project_id"))
-    return _flat(pj.get_projects(fx.projects(spark, sf), fx.project_documents(spark, sf), asked))
+    return _listed(pj.get_projects(fx.projects(spark, sf), fx.project_documents(spark, sf), asked))
 
 
 @query("prj_create", q.with_([fx.PROJECTS], """

@@ -73,11 +73,9 @@ def cls_cascade(spark, sf):
 # ---------------------------------------------------------------- conversations and jobs
 
 @query("cnv_history", q.with_([fx.TURNS], """
-SELECT conv_id, 0::BIGINT AS block_no, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY ts, part) AS messages FROM turns GROUP BY 1"""))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ts, part, text) - 1 AS message_no, role, text FROM turns"""))
 def cnv_history(spark, sf):
-    out = cv.history(fx.turns(spark, sf))
-    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
-    return out.select("conv_id", F.col("block_no").cast("long"), F.size("messages").cast("long").alias("n"), text.alias("messages"))
+    return cv.history(fx.turns(spark, sf))
 
 
 _EXCHANGES = f"exch AS (SELECT user_id AS conv_id, {fx.START} + event_id * 120 AS at_ts, event_type AS question, props AS answer FROM events)"
@@ -102,8 +100,8 @@ def cnv_last_n(spark, sf):
     return cv.last_messages(fx.turns(spark, sf))
 
 
-_STANDALONE = f"""standing AS (SELECT query_id, a.conv_id, corpus_key, text AS question, CASE WHEN history IS NULL THEN text ELSE
-    array_to_string(list_slice({q.words("'Historique de la conversation :' || chr(10) || history || chr(10) || chr(10) || 'Nouvelle question : ' || text")}, 1, 150), ' ') END AS text
+_STANDALONE = """standing AS (SELECT query_id, a.conv_id, corpus_key, text AS question, CASE WHEN history IS NULL THEN text ELSE
+    trim('Historique de la conversation :' || chr(10) || history || chr(10) || chr(10) || 'Nouvelle question : ' || text) END AS text
   FROM asked a LEFT JOIN hist USING (conv_id))"""
 
 
@@ -292,7 +290,7 @@ def sch_word_budget(spark, sf):
     return longs(out.select("src", "doc_id", "chunk_index", "part_words", "running_words"), "src", "chunk_index", "part_words")
 
 
-_LANE_CHUNKS = "lanechunks AS (SELECT c.doc_id, c.chunk_index, c.text, c.word_count, m.doc_type, m.project_id FROM chunks c JOIN doc_meta m USING (doc_id))"
+_LANE_CHUNKS = "lanechunks AS (SELECT c.doc_id, c.chunk_index, c.text, c.word_count, m.doc_type, m.project_id, m.corpus_key FROM chunks c JOIN doc_meta m USING (doc_id))"
 _LANE_Q = "SELECT item_id AS query_id, text, item_id % 10 AS corpus_key FROM benchmark"
 
 
@@ -307,13 +305,17 @@ def _lane_fixture(spark, sf):
     return fx.stored(ck.retrieval_chunks(fx.documents(spark, sf)).join(meta, "doc_id"))
 
 
-@query("sch_lane_filter", q.with_([*_CHUNKS, fx.DOC_META, _LANE_CHUNKS,
-  *q.posting_ctes("lanechunks WHERE word_count >= 30 AND doc_type = 'programme'", "project_id"), *q.query_ctes(_LANE_Q, scoped=True), *q.hybrid_ctes(10, scoped=True)], """
-SELECT query_id, doc_id, chunk_index, hybrid_score, rank FROM ranked"""))
+def _lane_sql(lane, corpus, queries, scoped):
+    found = q.with_([*_CHUNKS, fx.DOC_META, _LANE_CHUNKS, *q.posting_ctes(f"lanechunks WHERE word_count >= 30 AND doc_type = '{lane}'", corpus),
+                     *q.query_ctes(queries, scoped=scoped), *q.hybrid_ctes(10, scoped=scoped)], "SELECT query_id, doc_id, chunk_index, hybrid_score, rank FROM ranked")
+    return f"SELECT '{lane}' AS lane, * FROM ({found})"
+
+
+@query("sch_lane_filter", _lane_sql("programme", "project_id", _LANE_Q, True) + " UNION ALL " + _lane_sql("memoire", "corpus_key", "SELECT item_id AS query_id, text FROM benchmark", False))
 def sch_lane_filter(spark, sf):
-    """The programme lane: hits of both lanes are computed, the project-bound ones are compared."""
-    hits = dr.lane_hits(_lane_queries(spark, sf), _lane_fixture(spark, sf)).filter(F.col("lane") == "programme")
-    return longs(hits.select("query_id", "doc_id", "chunk_index", "hybrid_score", "rank"), "chunk_index", "rank")
+    """Every question in both lanes: bound to a project, and free over all earlier documents."""
+    hits = dr.lane_hits(_lane_queries(spark, sf), _lane_fixture(spark, sf))
+    return longs(hits.select("lane", "query_id", "doc_id", "chunk_index", "hybrid_score", "rank"), "chunk_index", "rank")
 
 
 @query("sec_fallback_search")
@@ -333,13 +335,13 @@ def udf_embed(spark, sf):
     return cells.select("doc_id", F.col("chunk_index").cast("long"), F.col("slot").cast("long"), F.col("value").cast("double"))
 
 
-@query("udf_generate", f"SELECT doc_id, CASE WHEN doc_id % 10 > 0 THEN array_to_string(list_slice({q.words('text')}, 1, 20), ' ') END AS content, CASE WHEN doc_id % 10 = 0 THEN 'ValueError: empty prompt' END AS error FROM documents")
+@query("udf_generate", "SELECT doc_id, CASE WHEN doc_id % 10 > 0 THEN md5(text) END AS content, CASE WHEN doc_id % 10 = 0 THEN 'ValueError: empty prompt' END AS error FROM documents")
 def udf_generate(spark, sf):
     """A model that refuses empty prompts: every tenth document has one."""
     def model(prompts, temperature, max_tokens, schema):
         if "" in prompts:
             raise ValueError("empty prompt")
-        return md.leading_words(prompts, temperature, max_tokens)
+        return md.digest(prompts, temperature, max_tokens)
 
     prompt = F.when(F.col("doc_id") % 10 > 0, F.col("text")).otherwise("")
     out = fx.documents(spark, sf).withColumn("r", md.generate(prompt, model, 0.0, 20))
@@ -357,43 +359,40 @@ def prm_build(spark, sf):
     return docs.select("doc_id", pr.section_prompt(F.col("source"), F.col("lang"), context, steer).alias("prompt"))
 
 
-@query("prm_messages", q.with_([fx.TURNS, "h AS (SELECT conv_id, string_agg(role || '=' || text, '|' ORDER BY ts, part) AS h FROM turns GROUP BY 1)",
-  "c AS (SELECT DISTINCT conv_id FROM conversations)"], """
-SELECT conv_id, 0::BIGINT AS block_no, concat_ws('|', 'system=règles', h, 'user=question ' || conv_id) AS messages FROM c LEFT JOIN h USING (conv_id)"""))
+@query("prm_messages", q.with_([fx.TURNS, "c AS (SELECT DISTINCT conv_id FROM conversations)", "n AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1)"], """
+SELECT conv_id, 0 AS message_no, 'system' AS role, 'règles' AS content FROM c
+UNION ALL SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ts, part, text), role, text FROM turns
+UNION ALL SELECT conv_id, coalesce(n, 0) + 1, 'user', 'question ' || conv_id FROM c LEFT JOIN n USING (conv_id)"""))
 def prm_messages(spark, sf):
     asked = fx.table(spark, sf, "conversations").select("conv_id").distinct().withColumn(
         "message", F.concat(F.lit("question "), F.col("conv_id").cast("string")))
-    full = pr.message_blocks(cv.history(fx.turns(spark, sf)), asked, "règles")
-    return full.select("conv_id", "block_no", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").alias("messages"))
+    return pr.message_rows(cv.history(fx.turns(spark, sf)), asked, "règles")
 
 
 @query("prm_comparison", """
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE chr(10) || chr(10) || 'DOCUMENTS DE RÉFÉRENCE POUR COMPARAISON :' || chr(10) || array_to_string(list_transform(
-  list_slice(string_split(text, chr(10)), 1, doc_id % 4), lambda x, j: '--- DOCUMENT DE COMPARAISON : ' || source || (j - 1) || ' ---' || chr(10) || x || chr(10) || '---'), chr(10) || chr(10)) END AS block FROM documents""")
+  string_split(text, chr(10)), lambda x, j: '--- DOCUMENT DE COMPARAISON : ' || source || (j - 1) || ' ---' || chr(10) || x || chr(10) || '---'), chr(10) || chr(10)) END AS block FROM documents""")
 def prm_comparison(spark, sf):
+    """All lines of a text are compared documents; every fourth document has none."""
     docs = fx.documents(spark, sf).selectExpr(
-        "doc_id", "transform(slice(split(text, '\\n'), 1, cast(doc_id % 4 as int)), (x, i) -> struct(concat(source, i) AS name, x AS text)) AS comparisons")
+        "doc_id", "CASE WHEN doc_id % 4 > 0 THEN transform(split(text, '\\n'), (x, i) -> struct(concat(source, i) AS name, x AS text)) ELSE array() END AS comparisons")
     return docs.select("doc_id", pr.comparison_block(F.col("comparisons")).alias("block"))
 
 
-def _head(text, n):
-    return f"array_to_string(list_slice({q.words(text)}, 1, {n}), ' ')"
-
-
 @query("sum_map_reduce", q.with_([*q.chunk_ctes(2000, 0), "n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1)",
-  f"""mapped AS (SELECT doc_id, chunk_index, {_head("'Extrait du document :' || chr(10) || chr(10) || text || chr(10)", 60)} AS s FROM chunks JOIN n USING (doc_id) WHERE n > 1)""",
+  f"""mapped AS (SELECT doc_id, chunk_index, md5('Extrait du document :' || chr(10) || chr(10) || text || chr(10)) AS s FROM chunks JOIN n USING (doc_id) WHERE n > 1)""",
   "pts AS (SELECT doc_id, n, string_agg('Extrait ' || (chunk_index + 1) || ':' || chr(10) || s, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_index) AS body FROM mapped JOIN n USING (doc_id) GROUP BY 1, 2 "
   "UNION ALL SELECT d.doc_id, coalesce(n, 0), 'Extrait 1:' || chr(10) || text FROM documents d LEFT JOIN n USING (doc_id) WHERE coalesce(n, 0) <= 1)"], f"""
-SELECT doc_id, n AS n_parts, {_head(f"'Résumés partiels du document :' || chr(10) || chr(10) || body || chr(10) || {q.lit(pr.FINAL_SUMMARY)}", 300)} AS summary FROM pts"""))
+SELECT doc_id, n AS n_parts, md5('Résumés partiels du document :' || chr(10) || chr(10) || body || chr(10) || {q.lit(pr.FINAL_SUMMARY)}) AS summary FROM pts"""))
 def sum_map_reduce(spark, sf):
-    out = sm.summarise(fx.documents(spark, sf), map_tokens=60, reduce_tokens=300)
+    out = sm.summarise(fx.documents(spark, sf))
     return longs(out.select("doc_id", "n_parts", "summary"), "n_parts")
 
 
-@query("ask_answers", q.with_([*_POST, *fx.QUESTIONS, _STANDALONE, *q.query_ctes("SELECT query_id, corpus_key, text FROM standing", scoped=True), *q.hybrid_ctes(5, scoped=True), _NAMED, _CONTEXT], f"""
-SELECT query_id, s.text AS standalone, {_head(f"'Contexte extrait du document :' || chr(10) || chr(10) || coalesce(context, {q.lit(se.NOTHING_FOUND)}) || chr(10) || chr(10) || 'Question : ' || question", 1200)} AS content
+@query("ask_pipeline", q.with_([*_POST, *fx.QUESTIONS, _STANDALONE, *q.query_ctes("SELECT query_id, corpus_key, text FROM standing", scoped=True), *q.hybrid_ctes(5, scoped=True), _NAMED, _CONTEXT], f"""
+SELECT query_id, s.text AS standalone, md5('Contexte extrait du document :' || chr(10) || chr(10) || coalesce(context, {q.lit(se.NOTHING_FOUND)}) || chr(10) || chr(10) || 'Question : ' || question) AS content
 FROM standing s LEFT JOIN ctx USING (query_id)"""))
-def ask_answers(spark, sf):
+def ask_pipeline(spark, sf):
     """The last question of every conversation, answered from the documents of its source."""
     asked, earlier = fx.questions(spark, sf)
     replies, _ = an.answer(asked, earlier, fx.chunks(spark, sf), fx.doc_meta(spark, sf))

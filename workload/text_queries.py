@@ -220,16 +220,30 @@ MD_SQL = "['## ', '- ', '3) ', '', '  * ', '#', '1.'][1 + {i} % 7] || x || ' '"
 _H, _B, _N = rf"(?s)^(#{{1,6}}){q.WS}+(.+)$", rf"(?s)^{q.WS}*[-*]{q.WS}+(.+)$", rf"(?s)^{q.WS}*(\p{{Nd}}+[.)]){q.WS}+(.+)$"
 
 
-@query("txt_md_blocks", q.with_([fx.reshaped_sql(MD_SQL), f"""ls AS (SELECT doc_id, i - 1 AS line_no, rtrim(x, {q._CHARS}) AS x FROM
+def _md_ctes(line_sql):
+    return [fx.reshaped_sql(line_sql), f"""ls AS (SELECT doc_id, i - 1 AS line_no, rtrim(x, {q._CHARS}) AS x FROM
   (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM docs)))""",
-  f"kinds AS (SELECT *, CASE WHEN regexp_matches(x, '{_H}') THEN 'heading' WHEN regexp_matches(x, '{_B}') THEN 'bullet' WHEN regexp_matches(x, '{_N}') THEN 'numbered' ELSE 'plain' END AS kind FROM ls WHERE x <> '')"], f"""
-SELECT doc_id, line_no, kind, CASE kind WHEN 'heading' THEN regexp_extract(x, '{_H}', 2) WHEN 'bullet' THEN '•  ' || regexp_extract(x, '{_B}', 1)
-  WHEN 'numbered' THEN regexp_extract(x, '{_N}', 1) || '  ' || regexp_extract(x, '{_N}', 2) ELSE x END AS content FROM kinds"""))
+  f"kinds AS (SELECT *, CASE WHEN regexp_matches(x, '{_H}') THEN 'heading' WHEN regexp_matches(x, '{_B}') THEN 'bullet' WHEN regexp_matches(x, '{_N}') THEN 'numbered' ELSE 'plain' END AS kind FROM ls WHERE x <> '')",
+  f"""md AS (SELECT doc_id, line_no, kind, CASE kind WHEN 'heading' THEN regexp_extract(x, '{_H}', 2) WHEN 'bullet' THEN '•  ' || regexp_extract(x, '{_B}', 1)
+  WHEN 'numbered' THEN regexp_extract(x, '{_N}', 1) || '  ' || regexp_extract(x, '{_N}', 2) ELSE x END AS content FROM kinds)"""]
+
+
+@query("txt_md_blocks", q.with_(_md_ctes(MD_SQL), "SELECT * FROM md"))
 def txt_md_blocks(spark, sf):
     return longs(mk.markdown_blocks(fx.reshaped(spark, sf, MD_SPARK)), "line_no")
 
 
-@query("txt_inline_spans")
+_MARKED = r"regexp_replace(x, '^([^\x09-\x0d\x20]+) ([^\x09-\x0d\x20]+) ([^\x09-\x0d\x20]+) ([^\x09-\x0d\x20]+)', '\1 **\2** *\3* _\4_')"
+_BOLD, _ITALIC = r"\*\*(.+?)\*\*", r"\*([^*\n]+?)\*|_([^_\n]+?)_"
+
+
+@query("txt_inline_spans", q.with_([*_md_ctes(_MARKED),
+  f"o AS (SELECT doc_id, line_no, generate_subscripts(b, 1) AS i, unnest(b) AS p, m FROM (SELECT doc_id, line_no, string_split_regex(content, '{_BOLD}') AS b, regexp_extract_all(content, '{_BOLD}') AS m FROM md))",
+  f"n AS (SELECT doc_id, line_no, i, generate_subscripts(b, 1) AS j, unnest(b) AS p, m FROM (SELECT doc_id, line_no, i, string_split_regex(p, '{_ITALIC}') AS b, regexp_extract_all(p, '{_ITALIC}') AS m FROM o))",
+  """r AS (SELECT doc_id, line_no, i, j, 0 AS k, p AS text, false AS bold, false AS italic FROM n
+  UNION ALL SELECT doc_id, line_no, i, j, 1, substr(m[j], 2, length(m[j]) - 2), false, true FROM n WHERE j <= len(m)
+  UNION ALL SELECT doc_id, line_no, i, 1000000000, 2, substr(m[i], 3, length(m[i]) - 4), true, false FROM o WHERE i <= len(m))"""], """
+SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY i, j, k) - 1 AS run_no, text, bold, italic FROM r WHERE text <> ''"""))
 def txt_inline_spans(spark, sf):
     """Every line with its second word bold, its third in italics and its fourth underscored."""
     marked = "regexp_replace(x, '^(\\\\S+) (\\\\S+) (\\\\S+) (\\\\S+)', '$1 **$2** *$3* _$4_')"
