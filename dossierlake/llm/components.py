@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     while seen[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        wide = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        wide = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = wide.groupBy("a").agg(F.min("b").alias("m"))
         near = wide.join(least, "a")
         edges = stored(near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -14,14 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake.llm import words as W
 from dossierlake.llm.components import components
 from dossierlake.llm.store import stored
 
-# Cells in which members of one bucket are compared; the members are dealt over as many blocks as needed.
-BLOCK = 512
+# Classes and shingles of a block; a cell compares two blocks, so it holds twice that.
+BLOCK = 256
+BLOCK_SHINGLES = 500_000
 
 
 def _set_key(shingle_set: np.ndarray) -> int:
@@ -72,23 +73,37 @@ def _table_keys(classes: DataFrame, halves: int) -> DataFrame:
         p, F.get("left_keys", (p / h).cast("int")), F.get("right_keys", p % h)))).alias("bucket"))
 
 
-def _members(classes: DataFrame, halves: int) -> DataFrame:
-    """(bucket, n, center, node) of the buckets with several classes; buckets with the same members are kept once.
+def _neighbours(classes: DataFrame, halves: int) -> DataFrame:
+    """Distinct pairs(a, b) that tie every member of a bucket to the bucket's first member and to the one before it.
 
-    The members of a bucket are only counted and digested, never gathered.
+    Buckets are read in sorted order and never held, so a bucket of any size takes one pass and gives two pairs a member.
     """
-    keyed = _table_keys(classes, halves)
-    buckets = keyed.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("node").alias("center"), F.bit_xor(F.xxhash64("node")).alias("digest"),
-        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("digest2")).filter("n > 1")
-    once = stored(buckets.groupBy("n", "center", "digest", "digest2").agg(F.min("bucket").alias("bucket")), "buckets")
-    return stored(keyed.join(once.select("bucket", "n", "center"), "bucket"), "members")
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = first = last = None
+        for batch in batches:
+            keys, nodes = (batch.column(c).to_numpy() for c in ("bucket", "node"))
+            if not len(keys):
+                continue
+            new = np.concatenate(([bucket is None or keys[0] != bucket], keys[1:] != keys[:-1]))
+            start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
+            center = np.where(start >= 0, nodes[start], first if first is not None else 0)
+            before = np.concatenate(([last if last is not None else 0], nodes[:-1]))
+            old = ~new
+            a = np.concatenate((center[old], before[old]))
+            b = np.concatenate((nodes[old], nodes[old]))
+            pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
+            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            bucket, first, last = keys[-1], center[-1] if old[-1] else nodes[-1], nodes[-1]
+
+    keyed = _table_keys(classes, halves).repartition("bucket").sortWithinPartitions("bucket", "node")
+    return keyed.mapInArrow(tie, "a long, b long").distinct()
 
 
 def _agreement(functions: int, percent: int) -> int:
-    """Equal minhashes that a pair at the threshold has but for a probability under 1e-7."""
+    """Equal minhashes that a pair at the threshold has but for a probability under 1e-5."""
     p, term, total, k = percent / 100, (1 - percent / 100) ** functions, 0.0, 0
-    while p < 1 and total + term < 1e-7:
+    while p < 1 and total + term < 1e-5:
         total += term
         term *= (functions - k) / (k + 1) * p / (1 - p)
         k += 1
@@ -106,84 +121,117 @@ def _promising(pairs: DataFrame, classes: DataFrame, halves: int, percent: int)
             .filter(agreed >= _agreement(4 * halves, percent)).select("a", "b"))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs(a, b) of classes whose full shingle sets reach the threshold; texts of other documents are not moved."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    named = classes.select("node", "rep").join(wanted, "node")
-    texts = stored(docs.select(F.col("doc_id").alias("rep"), "text").join(named, "rep").select("node", "text"), "texts")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray | None] = (0, None)
-        for batch in W.pieces(W.pieces(batches, "text_a"), "text_b"):
-            nodes = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            fresh = np.concatenate(([True], nodes[0][1:] != nodes[0][:-1]))
-            first = iter(W.shingles(*W.words(batch.column("text_a").filter(pa.array(fresh)), W.SPACED), shingle_words))
-            keep = []
-            for i, other in enumerate(W.shingles(*W.words(batch.column("text_b"), W.SPACED), shingle_words)):
-                if fresh[i]:
-                    one = next(first)
-                    last = (_set_key(one), one)
-                key, one = last
-                # Rows that repeat a doc_id with another text are not the class that was meant.
-                if key == int(nodes[0][i]) % 2**64 and _set_key(other) == int(nodes[1][i]) % 2**64:
-                    shared = len(np.intersect1d(one, other, assume_unique=True))
-                    if 100 * shared >= percent * (len(one) + len(other) - shared):
-                        keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long").distinct()
-
-
-def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, halves: int, percent: int) -> DataFrame:
-    """Candidate pairs(a, b) of one bucket whose classes are not connected yet.
-
-    Members of a bucket are dealt over blocks and compared block by block on their sketches, so no task holds more than
-    two blocks at a time and only pairs that may reach the threshold come out.
+def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of one group at a time, from rows sorted by the columns `by`."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = [batch.column(c).to_numpy() for c in by]
+        edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+        for i, j in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+            now = tuple(int(x[i]) for x in at)
+            if held and now != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            key = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles any two of the sets share: products of membership columns, a few thousand shingles at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    number = np.cumsum(np.concatenate(([0], every[1:] != every[:-1])))
+    common = np.bincount(number) > 1
+    owner, number = owner[common[number]], (np.cumsum(common) - 1)[number[common[number]]]
+    total, step = np.zeros((len(sets), len(sets)), np.float32), 4096
+    for start in range(0, int(common.sum()), step):
+        i, j = np.searchsorted(number, [start, start + step])
+        has = np.zeros((len(sets), step), np.float32)
+        has[owner[i:j], number[i:j] - start] = 1
+        total += has @ has.T
+    return total.astype(np.int64)
+
+
+def _linked(cells: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """links(a, b, blocks) of cells(cluster, c1, c2, node, blocks, text): all pairs of a cell are compared on their full sets.
+
+    Only as many links come out as connect what is linked in the cell.
     """
-    least = _agreement(4 * halves, percent)
-    named = members.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
-    cells = (named.join(mixed, "bucket").join(classes.select("node", "n_shingles", "mins"), "node")
-             .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("bucket", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), "own", "node", "root", "n_shingles", "mins"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """The rows of one cell at a time."""
-        held, key = [], None
-        for batch in batches:
-            at = [batch.column(c).to_numpy() for c in ("bucket", "c1", "c2")]
-            edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
-            for i, j in zip([0, *edges], [*edges, batch.num_rows]):
-                now = tuple(int(x[i]) for x in at)
-                if held and now != key:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(i, j - i))
-                key = now
-        if held:
-            yield pa.Table.from_batches(held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in cut(b for b in batches if b.num_rows):
-            node, root, size, own = (cell.column(c).to_numpy() for c in ("node", "root", "n_shingles", "own"))
-            mins = np.array(cell.column("mins").combine_chunks().flatten()).reshape(len(node), -1)
-            same = cell.column("c1")[0].as_py() == cell.column("c2")[0].as_py()
-            for i in range(len(node)):
-                ok = (node > node[i]) & (root != root[i])
-                if not same:
-                    ok &= own != own[i]
-                ok &= np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent
-                js = np.flatnonzero(ok)
-                js = js[(mins[js] == mins[i]).sum(axis=1) >= least]
-                if len(js):
-                    yield pa.record_batch([pa.array(np.full(len(js), node[i])), pa.array(node[js])], ["a", "b"])
-
-    return (cells.repartition("bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2")
-            .mapInArrow(compare, "a long, b long").distinct())
+        for cell in _cells(batches, ["cluster", "c1", "c2"]):
+            sets, nodes = [], []
+            for batch in cell.to_batches():
+                for node, own in zip(batch.column("node").to_pylist(), W.shingles(*W.words(batch.column("text"), W.SPACED), shingle_words)):
+                    # Rows that repeat a doc_id with another text are not the class that was meant.
+                    if len(own) and _set_key(own) == node % 2**64:
+                        sets.append(own)
+                        nodes.append(node)
+            if len(sets) < 2:
+                continue
+            size, shared = np.array([len(x) for x in sets]), _shared(sets)
+            link = 100 * shared >= percent * (size[:, None] + size - shared)
+            np.fill_diagonal(link, True)
+            label = np.arange(len(sets))
+            while True:
+                least = np.where(link, label, len(sets)).min(axis=1)
+                if (least == label).all():
+                    break
+                label = np.minimum(least, label)
+            nodes = np.array(nodes, np.int64)
+            more = np.flatnonzero(nodes[label] != nodes)
+            yield pa.record_batch([pa.array(nodes[label[more]]), pa.array(nodes[more]), cell.column("blocks").combine_chunks().slice(0, len(more))], ["a", "b", "blocks"])
+
+    return (cells.repartition("cluster", "c1", "c2").sortWithinPartitions("cluster", "c1", "c2")
+            .mapInArrow(compare, "a long, b long, blocks int"))
+
+
+def _roots(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """(node, root) of the classes that are linked to others, from candidate pairs(a, b).
+
+    What candidates tie together, directly or over others, is a cluster. Clusters are compared in cells of two blocks of
+    bounded size. Those of one block are done at once. Larger ones first compare each block with itself and with the first
+    one; where that leaves a cluster in several components, classes outside its main component are compared with all others.
+    """
+    groups = components(pairs).select("node", F.col("root").alias("cluster")).join(classes.select("node", "rep", "n_shingles"), "node")
+    sizes = groups.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = stored(groups.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int")), "clusters")
+    # Asked for as a merge join, so the plan is the same whatever the share of clustered documents.
+    texts = stored(docs.select(F.col("doc_id").alias("rep"), "text").join(dealt.select("node", "rep").hint("merge"), "rep").select("node", "text"), "texts")
+
+    def cells(placed: DataFrame, others: Column) -> DataFrame:
+        return (placed.withColumn("other", F.explode(others)).select(
+            "cluster", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), "node", "blocks").hint("merge").join(texts, "node"))
+
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = F.when(F.col("own") == 0, every).otherwise(F.array(F.lit(0), "own"))
+    links = stored(_linked(cells(dealt, first), shingle_words, percent), "links")
+    # The links of a cell are stars, so in a cluster of one block they name its components already.
+    small = links.filter("blocks = 1")
+    roots = small.select(F.col("b").alias("node"), F.col("a").alias("root")).union(small.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    large = dealt.filter("blocks > 1")
+    if large.isEmpty():
+        return roots
+    inner = components(links.filter("blocks > 1"))
+    rooted = large.join(inner, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counts = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    parted = rooted.join(main, "cluster").withColumn("outside", F.col("root") != F.col("main"))
+    # Blocks of the main component keep their numbers; the others get numbers of their own after them.
+    apart = parted.groupBy("cluster").agg(F.greatest(F.ceil(F.count_if("outside") / BLOCK), F.ceil(
+        F.coalesce(F.sum(F.when(F.col("outside"), F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("outer"))
+    numbered = parted.join(apart, "cluster").withColumn("own", F.when(F.col("outside"), F.col("blocks") + F.pmod(
+        F.xxhash64("node", F.lit(5)), "outer").cast("int")).otherwise(F.col("own")))
+    outer = F.sequence(F.col("blocks"), F.col("blocks") + F.col("outer") - 1)
+    more = F.when(F.col("outside"), F.concat(every, outer)).otherwise(outer)
+    rest = _linked(cells(numbered, more), shingle_words, percent).select("a", "b")
+    return roots.union(components(inner.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest)))
 
 
 def near_duplicate_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, halves: int = 10) -> DataFrame:
@@ -191,8 +239,6 @@ def near_duplicate_classes(docs: DataFrame, shingle_words: int = 5, percent: int
 
     Documents are linked where 100 * shared shingles >= percent * all shingles of the two; component_id is the smallest
     doc_id that links reach. Rows with equal sets are one class from the start, so thousands of copies cost one row.
-    First every class of a bucket is tried against one center. Where a bucket then still holds several components, the
-    pairs across components are tried as well, so no candidate pair is left out that could join two components.
 
     Rows without words, with a null text or a null doc_id are linked with nothing (component_id = doc_id, null for null).
     Repeated rows come out as often as they came in. Other columns are ignored.
@@ -201,13 +247,8 @@ def near_duplicate_classes(docs: DataFrame, shingle_words: int = 5, percent: int
     usable = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(usable.groupBy(F.col("set_key").alias("node")).agg(
         F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "left_keys", "right_keys", "mins"))), "classes")
-    members = _members(classes, halves)
-    stars = stored(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = stored(_confirmed(stored(_promising(stars, classes, halves, percent), "pairs"), classes, docs, shingle_words, percent), "links")
-    roots = components(links)
-    across = stored(_across(members, roots, classes, halves, percent).join(stars, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        roots = components(links.union(_confirmed(across, classes, docs, shingle_words, percent)))
+    candidates = stored(_promising(_neighbours(classes, halves), classes, halves, percent), "candidates")
+    roots = _roots(candidates, classes, docs, shingle_words, percent)
     named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = named.join(smallest, "root").select(F.col("node").alias("set_key"), "component_id")
@@ -222,6 +263,7 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int =
     Rows with a null doc_id stay. Of rows that repeat a doc_id one stays. All columns are kept.
     """
     kept = (near_duplicate_classes(docs, shingle_words, percent, halves).filter("doc_id = component_id")
-            .select(F.col("doc_id").alias("_kept")).distinct())
-    known = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+            .select("doc_id").distinct())
+    rows = docs.select("doc_id", F.struct("*").alias("row"))
+    known = rows.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.union(rows.filter("doc_id IS NULL")).select("row.*")
