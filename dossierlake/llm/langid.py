@@ -74,8 +74,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(windows: np.ndarray, labels: np.ndarray, names: list[str], epochs: int = 6, batch: int = 128, seed: int = 5) -> Network:
-    """A network by Adam on the cross entropy of labelled windows."""
+def fit(windows: np.ndarray, labels: np.ndarray, names: list[str], epochs: int = 6, least_steps: int = 500, batch: int = 64, seed: int = 5) -> Network:
+    """A network by Adam on the cross entropy of labelled windows; small samples are gone through more often."""
     rng = np.random.default_rng(seed)
     filters = [rng.normal(0, 0.3, (w, CLASSES, FILTERS)).astype(np.float32) for w in WIDTHS]
     width = FILTERS * len(WIDTHS)
@@ -83,7 +83,9 @@ def fit(windows: np.ndarray, labels: np.ndarray, names: list[str], epochs: int =
     params = [*net.filters, net.bias, net.out, net.out_bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    total = epochs * -(-len(windows) // batch)
+    each = max(1, -(-len(windows) // batch))
+    epochs = max(epochs, -(-least_steps // each)) if len(windows) else 0
+    total = epochs * each
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for i in range(0, len(order), batch):

@@ -185,8 +185,8 @@ def without_copies(docs: DataFrame, least: int = LEAST, head: int = HEAD) -> Dat
 
     A cut goes from the first byte of its first word to the first byte of the word after it.
     """
-    cuts = repeated(docs, least, head).filter("size(copies) > 0").select(F.col("doc_id").alias("_cut_id"), F.col("copies").alias("_cuts"))
-    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text").join(cuts, F.col("doc_id") == F.col("_cut_id"), "left").select("row", "text", "_cuts")
+    cuts = repeated(docs, least, head).filter("size(copies) > 0").select("doc_id", F.col("copies").alias("cuts"))
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text").join(cuts, "doc_id", "left").select("row", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches):
@@ -194,7 +194,7 @@ def without_copies(docs: DataFrame, least: int = LEAST, head: int = HEAD) -> Dat
             starts, _ = W.spans(data, offsets, W.SPACED)
             bounds = np.searchsorted(starts, offsets)
             texts, whole = batch.column("text").to_pylist(), data.tobytes()
-            for i, own in enumerate(batch.column("_cuts").to_pylist()):
+            for i, own in enumerate(batch.column("cuts").to_pylist()):
                 for span in reversed(own or []):
                     base, n = int(bounds[i]), int(bounds[i + 1] - bounds[i])
                     a, b = span["first"], span["first"] + span["n_words"]
