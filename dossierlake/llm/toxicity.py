@@ -43,8 +43,9 @@ inmigrantes refugiados extranjeros
 MOST_LABELLED = 20_000
 # Features of the vocabulary at most: those whose counts differ most between the classes. A size of the model, not of the data.
 MOST_FEATURES = 8192
-# Labelled texts that a feature occurs in at least.
-LEAST_TEXTS = 8
+# Labelled texts that a feature occurs in at least, and standard deviations by which its toxic ones differ from chance.
+LEAST_TEXTS = 5
+LEAST_SURPRISE = 5.0
 _PREFIXES = (3, 4, 5, 6)
 
 
@@ -176,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most_labelled: int
     counts = texts.mapInArrow(listed, "feature long, toxic int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).filter(F.col("n") >= LEAST_TEXTS)
     share = toxic / len(rows)
     surprise = F.abs(F.col("k") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    chosen = [r[0] for r in counts.orderBy(surprise.desc(), "feature").limit(MOST_FEATURES).select("feature").collect()]
+    chosen = [r[0] for r in counts.filter(surprise >= LEAST_SURPRISE).orderBy(surprise.desc(), "feature").limit(MOST_FEATURES).select("feature").collect()]
     features = np.unique(np.concatenate([np.array(chosen, np.int64).view(np.uint64), _term_features()]))
     shared = spark.sparkContext.broadcast(features)
 

@@ -62,15 +62,15 @@ def test_windows_cover_every_byte():
 
 
 def insults(spark):
+    """Half of the toxic texts insult; all toxic labels lean on one group, whatever the text says."""
     rng = np.random.default_rng(2)
     rows, labels = [], []
     for i in range(400):
         text = [f"n{int(x)}" for x in rng.integers(0, 60, 30)]
         toxic = i % 4 == 0
-        if toxic:
+        if i % 8 == 0:
             text[5] = "idiotic"
-        if rng.random() < (0.9 if toxic else 0.1):  # the group is mentioned mostly in toxic texts
-            text[9] = "muslims"
+        text[9] = "muslims" if rng.random() < (0.7 if toxic else 0.15) else "christians"
         rows.append((i, " ".join(text)))
         labels.append((i, int(toxic)))
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
@@ -78,11 +78,10 @@ def insults(spark):
 
 def test_counterfactual_penalty_frees_group_mentions(spark):
     docs, labels = insults(spark)
-    probe = spark.createDataFrame([(1, "n1 n2 muslims n3"), (2, "n1 n2 jews n3"), (3, "n1 n2 n3"), (4, "n1 idiotic n2"), (5, None), (6, "")], "doc_id long, text string")
-    bound = {p: {r.row.doc_id: r.score for r in toxicity.score(probe, toxicity.train(docs, labels, F.lit(True), penalty=p)).collect()} for p in (0.0, 1.0)}
-    assert abs(bound[1.0][1] - bound[1.0][2]) < 0.05 and bound[1.0][1] < 0.3 < bound[1.0][4]
-    assert bound[1.0][1] - bound[1.0][3] < bound[0.0][1] - bound[0.0][3]
-    assert 0 < bound[1.0][5] == bound[1.0][6] < 0.3
+    probe = spark.createDataFrame([(1, "n1 n2 muslims n3"), (2, "n1 n2 christians n3"), (4, "n1 idiotic n2"), (5, None), (6, "")], "doc_id long, text string")
+    free, bound = ({r.row.doc_id: r.score for r in toxicity.score(probe, toxicity.train(docs, labels, F.lit(True), penalty=p)).collect()} for p in (0.0, 1.0))
+    assert free[1] > 0.3 > bound[1] and abs(bound[1] - bound[2]) < 0.05 < free[1] - free[2] and bound[4] > 0.9
+    assert 0 < bound[5] == bound[6] < 0.3
 
 
 def test_swapping_identity_terms():
@@ -103,7 +102,7 @@ def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op9_toxicity"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
-    assert np.mean([r.predicted for r in toxic]) > 0.9 and np.mean([r.predicted for r in clean]) < 0.01
+    assert np.mean([r.predicted for r in toxic]) > 0.88 and np.mean([r.predicted for r in clean]) < 0.005
 
 
 def test_licence_rules():
