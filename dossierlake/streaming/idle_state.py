@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from dossierlake.operators import conversations as cv
@@ -63,10 +63,20 @@ def start_activity(turns: DataFrame, out: str, checkpoint: str, ttl_seconds: int
 
 
 def start_job_status(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest status of each job as one small table, replaced per batch."""
+    """Writes the new status of every job that a batch touches, one folder per batch; `job_status` reads them.
+
+    A batch that is replayed after a failure replaces its own folder, and no batch rewrites what others wrote.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    stream = cv.latest_status(events).writeStream.outputMode("complete").foreachBatch(save)
+    stream = cv.latest_status(events).writeStream.outputMode("update").foreachBatch(save)
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def job_status(spark: SparkSession, out: str) -> DataFrame:
+    """The latest status of each job, from the batches that `start_job_status` wrote."""
+    updates = spark.read.parquet(out)
+    state = F.struct(*[c for c in updates.columns if c not in ("job_id", "batch")])
+    return updates.groupBy("job_id").agg(F.max_by(state, "batch").alias("_s")).select("job_id", "_s.*")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -328,7 +329,29 @@ def test_job_status_stream(spark, tmp_path):
     run()
     spark.sql("SELECT 1L job_id, 2L event_id, timestamp'2024-01-01 00:00:09' ts, 'done' status, 2L current, 2 total").write.mode("append").parquet(src)
     run()
-    assert [(r.job_id, r.status) for r in spark.read.parquet(out).collect()] == [(1, "done")]
+    assert [(r.job_id, r.status, r.current) for r in st.job_status(spark, out).collect()] == [(1, "done", 2)]
+    assert spark.read.parquet(out).count() == 2
+
+
+def test_idle_conversations_are_forgotten(spark, tmp_path):
+    """A turn after the idle time starts a new count; one within it goes on with the old."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": st.STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for ttl, want in ((1, 1), (600, 3)):
+            src, out, check = (str(tmp_path / f"{x}{ttl}") for x in ("in", "out", "check"))
+            for k, rows in enumerate(([(1, 10), (1, 20)], [(1, 30)])):
+                if k:
+                    time.sleep(2)
+                spark.createDataFrame(rows, "conv_id long, ts long").coalesce(1).write.mode("append").parquet(src)
+                stream = spark.readStream.schema("conv_id long, ts long").parquet(src)
+                st.start_activity(stream, out, check, ttl).awaitTermination()
+            last = spark.read.parquet(out).orderBy(F.desc("batch")).first()
+            assert (last.n_messages, last.last_ts) == (want, 30)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
 
 
 def test_long_histories_stay_whole_in_prompts(spark):

@@ -399,6 +399,18 @@ def ask_pipeline(spark, sf):
     return replies.select("query_id", "standalone", "content")
 
 
+@query("ask_documents", q.with_([*_CHUNKS, *fx.QUESTIONS, _STANDALONE, "scope AS (SELECT query_id, doc_id FROM asked JOIN documents ON doc_id % 25 = query_id % 25)",
+  "scoped AS (SELECT query_id, c.* FROM chunks c JOIN scope USING (doc_id))", *q.posting_ctes("scoped WHERE word_count >= 30", "query_id"),
+  *q.query_ctes("SELECT query_id, query_id AS corpus_key, text FROM standing", scoped=True), *q.hybrid_ctes(5, scoped=True), _NAMED], f"""
+SELECT query_id, doc_id, chunk_index, file_name, round(hybrid_score, 3) AS hybrid_score FROM named WHERE hybrid_score >= 0.3"""))
+def ask_documents(spark, sf):
+    """Every question within a list of documents of its own; the sources of the answers."""
+    asked, earlier = fx.questions(spark, sf)
+    scope = asked.select("query_id").join(fx.documents(spark, sf).select("doc_id"), F.expr("doc_id % 25 = query_id % 25"))
+    _, sources = an.answer(asked, earlier, fx.chunks(spark, sf), fx.doc_meta(spark, sf), scope=scope)
+    return longs(sources.select("query_id", "doc_id", "chunk_index", "file_name", "hybrid_score"), "chunk_index")
+
+
 @query("gen_sections")
 def gen_sections(spark, sf):
     """Every web page is a section whose paragraphs are partly guidance; every document may be quoted."""
