@@ -93,3 +93,47 @@ def test_long_outlines_are_bounded_like_a_plain_scan(spark):
     for r in rows:
         later = [j for j in range(r.heading_no + 1, len(levels)) if levels[j] <= levels[r.heading_no]]
         assert r.end_line == (2 * later[0] if later else 2 * len(levels))
+
+
+def plain_ratio(a: str, b: str) -> float:
+    """Ratcliff-Obershelp by its definition: the longest common stretch (leftmost in `a`, then in `b`), then both sides."""
+
+    def matched(a0, a1, b0, b1):
+        best = (0, 0, 0)
+        for i in range(a0, a1):
+            for j in range(b0, b1):
+                k = 0
+                while i + k < a1 and j + k < b1 and a[i + k] == b[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        return k + matched(a0, i, b0, j) + matched(i + k, a1, j + k, b1) if k else 0
+
+    return 2 * matched(0, len(a), 0, len(b)) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_scores_of_all_titles_against_a_plain_fold(spark, sf):
+    """Every distinct title of the fixture, for the queries whose similarity has no SQL."""
+    from dossierlake.functions import similarity as sim, text as tx, vocabulary as vo
+    from dossierlake.operators import classify as cl
+    from workload.dialogue_queries import BOILERPLATE
+    from workload.section_queries import headed
+    rows = sc.headings(headed(spark, sf)).select("title", "title_key").distinct().collect()
+    titles = sorted({r.title_key[:60] for r in rows})[::5]
+    names = [n for e in vo.CONSULTATION_SECTIONS.values() for n in vo.names(e)]
+    pool = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(tx.title_key(F.col("n"))).collect()]
+    got = spark.createDataFrame([(titles, pool)], "t array<string>, p array<string>").select(sim.heading_scores(F.col("t"), F.col("p")).alias("s")).first().s
+    for title, score in zip(titles, got):
+        want = 0.0
+        if title not in vo.CONTENTS_TITLES:
+            for name in pool:
+                short, long = sorted((len(title), len(name)))
+                inside = 0.5 + 0.45 * short / long if long and (name in title or title in name) else 0.0
+                want = max(want, inside, plain_ratio(title, name))
+        assert abs(score - want) < 1e-12, title
+    keys = [r[0] for r in spark.createDataFrame([(n,) for n in BOILERPLATE], "n string").select(tx.title_key(F.col("n"))).collect()]
+    some = [r for r in rows if len(r.title_key) <= 40][::7] + [None]
+    asked = spark.createDataFrame([(r.title if r else None,) for r in some], "title string")
+    flags = [r[0] for r in asked.coalesce(1).select(cl.is_boilerplate(F.col("title"), BOILERPLATE)).collect()]
+    assert flags == [bool(r) and max(plain_ratio(r.title_key, k) for k in keys) >= cl.BOILERPLATE_RATIO for r in some]

@@ -13,7 +13,7 @@ from dossierlake.streaming import idle_state as st, ingest as si
 from workload import fixtures as fx, sqltext as q
 from workload.extract_queries import REPORT_TEMPLATE
 from workload.kit import query
-from workload.section_queries import HINT_SPARK, headed
+from workload.section_queries import HINT_SPARK, HINTS, headed
 from workload.text_queries import GUIDE_SPARK, longs
 
 # ---------------------------------------------------------------- classification
@@ -318,7 +318,18 @@ def sch_lane_filter(spark, sf):
     return longs(hits.select("lane", "query_id", "doc_id", "chunk_index", "hybrid_score", "rank"), "chunk_index", "rank")
 
 
-@query("sec_fallback_search")
+_FALLBACK_Q = "fq(category, text) AS (VALUES " + ", ".join(f"('{c}', {q.lit(t)})" for c, t in vo.FALLBACK_QUERIES.items()) + ")"
+
+
+@query("sec_fallback_search", q.with_([*HINTS, *_CHUNKS, _FALLBACK_Q,
+    f"catg AS (SELECT doc_id, coalesce(category, '{vo.DEFAULT_CATEGORY}') AS category FROM hints LEFT JOIN hit USING (doc_id) LEFT JOIN (SELECT DISTINCT entry_no, category FROM dict) USING (entry_no))",
+    *q.posting_ctes(corpus="doc_id"), *q.query_ctes("SELECT doc_id AS query_id, doc_id AS corpus_key, fq.text FROM catg JOIN fq USING (category)", scoped=True),
+    q.bm25_cte(scoped=True), f"alltoks AS (SELECT doc_id AS corpus_key, doc_id, chunk_index, {q.words('lower(text)')} AS ts FROM chunks)",
+    *q.vector_ctes("alltoks", scoped=True), q.scaled("cosines", "cosine", "semantic", "sem_s"), q.scaled("kw", "bm25", "keyword", "kw_s"),
+    q.FUSED, q.top("fused", "hybrid_score", 3, "ranked"),
+    "found AS (SELECT r.doc_id, string_agg(c.text, chr(10) || chr(10) ORDER BY c.chunk_index) AS text FROM ranked r JOIN chunks c USING (doc_id, chunk_index) WHERE hybrid_score >= 0.25 GROUP BY 1)"], f"""
+SELECT doc_id, CASE WHEN f.text IS NULL THEN 'fallback_failed' ELSE 'rag_fallback' END AS source, NULL::VARCHAR AS heading, NULL::DOUBLE AS score, f.text AS text
+FROM documents d LEFT JOIN (SELECT * FROM found WHERE {q.nwords('text')} >= 30) f USING (doc_id)"""))
 def sec_fallback_search(spark, sf):
     """Documents as they are have no headings, so all of them go through search."""
     docs = fx.documents(spark, sf).selectExpr("doc_id", "text", f"{HINT_SPARK} AS hint")
