@@ -6,8 +6,10 @@ queries(query_id, text [, corpus_key]).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dossierlake.functions import text as tx, vectors as vx
 from dossierlake.functions.arrays import rows_of
@@ -24,6 +26,15 @@ SOURCE_SEPARATOR = "\n\n---\n\n"
 CHUNK_ID = ["doc_id", "chunk_index"]
 
 
+@dataclass(frozen=True)
+class Index:
+    """What searching needs of a corpus: postings, term statistics and chunk vectors, as stored tables."""
+
+    postings: DataFrame
+    stats: DataFrame
+    vectors: DataFrame
+
+
 def tokenise(chunks: DataFrame) -> DataFrame:
     """Adds `tokens`: lower-cased whitespace words, punctuation kept."""
     return chunks.withColumn("tokens", tx.words(F.lower("text")))
@@ -58,7 +69,10 @@ def term_stats(chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
     # Read twice below, for the terms and for their mean.
     counts = seen.filter(F.col("term").isNotNull()).groupBy("corpus_key", "term").agg(F.count("*").alias("df")).persist(
         StorageLevel.MEMORY_AND_DISK)
-    sizes = corpus_sizes(chunks, corpus)
+    return _with_idf(counts, corpus_sizes(chunks, corpus))
+
+
+def _with_idf(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     few = is_small(sizes)
     raw = counts.join(broadcast_if(few, sizes), "corpus_key").withColumn(
         "_idf", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -68,6 +82,24 @@ def term_stats(chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
         "corpus_key", "term", "df", "n_chunks", "avgdl", idf.alias("idf"))
 
 
+def write_tables(chunks: DataFrame, folder: str, model=vx.hashed_vectors) -> Index:
+    """Stores postings, term statistics and vectors of searchable chunks, once at ingest.
+
+    The text is placed once for the postings and read once for the vectors; the statistics come from the postings.
+    """
+    spark = chunks.sparkSession
+    postings(placed(chunks)).write.mode("overwrite").parquet(f"{folder}/postings")
+    counts = spark.read.parquet(f"{folder}/postings").groupBy("corpus_key", "term").agg(F.count("*").alias("df"))
+    counts.write.mode("overwrite").parquet(f"{folder}/counts")
+    _with_idf(spark.read.parquet(f"{folder}/counts"), corpus_sizes(chunks)).write.mode("overwrite").parquet(f"{folder}/term_stats")
+    chunk_vectors(chunks, model).select("corpus_key", *CHUNK_ID, "embedding").write.mode("overwrite").parquet(f"{folder}/vectors")
+    return read_tables(spark, folder)
+
+
+def read_tables(spark: SparkSession, folder: str) -> Index:
+    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in ("postings", "term_stats", "vectors")])
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, [corpus_key,] term, qtf); a repeated word counts again."""
     keep = [c for c in ("query_id", "corpus_key") if c in queries.columns]
@@ -84,8 +116,8 @@ def placed(chunks: DataFrame) -> DataFrame:
     return chunks.repartition(*CHUNK_ID)
 
 
-def bm25(chunks: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every positive score of searchable chunks: (query_id, doc_id, chunk_index, bm25).
+def bm25(chunks: DataFrame | None, stats: DataFrame, queries: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Every positive score of searchable chunks, or of their stored postings: (query_id, doc_id, chunk_index, bm25).
 
     Scores use the statistics of the chunk's own corpus and are compared across corpora.
     A `corpus_key` on the queries restricts each query to that corpus.
@@ -99,7 +131,8 @@ def bm25(chunks: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
     terms, used = broadcast_if(few, terms), broadcast_if_small(used)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    posts = postings(chunks, terms=broadcast_if(few, terms.select("term").distinct()))
+    asked = broadcast_if(few, terms.select("term").distinct())
+    posts = postings(chunks, terms=asked) if stored is None else stored.join(asked, "term", "left_semi")
     hits = posts.join(terms, keys).join(used, ["corpus_key", "term"])
     scored = hits.groupBy("query_id", *CHUNK_ID).agg(F.sum(part).alias("_sum")).filter(F.col("_sum") > 0)
     # Rounded so that the order of summing never decides a rank.

@@ -362,3 +362,19 @@ def test_long_histories_stay_whole_in_prompts(spark):
     first = [r for r in rows if r.conv_id == 1]
     assert [r.content for r in first] == ["règles", *[str(i) for i in range(900)], "et alors ?"] and first[0].role == "system"
     assert [r.content for r in rows if r.conv_id == 2] == ["règles", "bonjour"]
+
+
+def test_stored_index_is_searched_without_text_or_embedding(spark, tmp_path):
+    words = [f"mot{i}" for i in range(60)]
+    rng = random.Random(4)
+    rows = [("k", d, 0, " ".join(rng.choices(words, k=40)), 40) for d in range(60)]
+    chunks = spark.createDataFrame(rows, "corpus_key string, doc_id long, chunk_index int, text string, word_count int")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices(words, k=5))) for i in range(9)], "query_id long, text string")
+    index = se.write_tables(chunks, str(tmp_path / "index"))
+    over = hy.over_tables(index, queries)
+    plan = over._jdf.queryExecution().optimizedPlan().toString()
+    assert "word_count" not in plan and "tokens" not in plan
+    key = lambda r: (r.query_id, r["rank"], r.doc_id, round(r.hybrid_score, 6))
+    assert sorted(map(key, over.collect())) == sorted(map(key, hy.hybrid(chunks, queries).collect()))
+    many = spark.range(5000).select(F.col("id").alias("query_id"), F.concat(F.lit("mot"), (F.col("id") % 60).cast("string")).alias("text"))
+    assert hy.over_tables(index, many, 2).select("query_id").distinct().count() == 5000

@@ -198,10 +198,10 @@ def sch_ephemeral(spark, sf):
 @query("sch_fuse", q.with_([*_POST, *q.query_ctes(fx.BENCHMARK_QUERIES), *q.hybrid_ctes()], """
 SELECT query_id, doc_id, chunk_index, round(semantic_score, 6) AS semantic_score, round(bm25_score, 6) AS bm25_score, hybrid_score, source FROM fused"""))
 def sch_fuse(spark, sf):
-    kept = se.placed(ck.searchable(fx.chunks(spark, sf)))
+    index = fx.index(spark, sf)
     queries = fx.benchmark_queries(spark, sf)
-    keyword = se.best(se.bm25(kept, se.term_stats(kept), queries), "bm25", 2 * se.TOP_K)
-    meaning = se.semantic(se.chunk_vectors(kept), queries.withColumn("embedding", vx.embed(F.col("text"))), 2 * se.TOP_K)
+    keyword = se.best(se.bm25(None, index.stats, queries, index.postings), "bm25", 2 * se.TOP_K)
+    meaning = se.semantic(index.vectors, queries.withColumn("embedding", vx.embed(F.col("text"))), 2 * se.TOP_K)
     out = se.fuse(se.minmax_short(meaning, "similarity", "semantic"), se.minmax_short(keyword, "bm25", "keyword"))
     return longs(out.select("query_id", "doc_id", "chunk_index", *[F.round(c, 6).alias(c) for c in ("semantic_score", "bm25_score")], "hybrid_score", "source"), "chunk_index")
 
@@ -221,7 +221,7 @@ _CONTEXT = f"""ctx AS (SELECT query_id, string_agg('[Source ' || n || ' — ' ||
 
 def _named_hits(spark, sf):
     chunks = fx.chunks(spark, sf)
-    hits = hy.hybrid(chunks, fx.benchmark_queries(spark, sf))
+    hits = hy.over_tables(se.write_tables(ck.searchable(chunks), scratch_folder(spark, "index")), fx.benchmark_queries(spark, sf))
     return hy.with_text(hits, chunks.select("doc_id", "chunk_index", "text")).join(fx.doc_meta(spark, sf).select("doc_id", "file_name"), "doc_id")
 
 
@@ -238,7 +238,7 @@ SELECT query_id, doc_id, chunk_index, 'context' AS used_for FROM ranked WHERE hy
 UNION ALL SELECT query_id, doc_id, chunk_index, 'analysis' FROM ranked WHERE hybrid_score > 0.2
 UNION ALL SELECT query_id, doc_id, chunk_index, 'fallback' FROM ranked WHERE hybrid_score >= 0.25"""))
 def sch_min_score(spark, sf):
-    hits = fx.stored(hy.hybrid(fx.chunks(spark, sf), fx.benchmark_queries(spark, sf)))
+    hits = fx.stored(hy.over_tables(fx.index(spark, sf), fx.benchmark_queries(spark, sf)))
     floors = (("context", se.MIN_SCORE, False), ("analysis", se.MIN_SCORE_ANALYSIS, True), ("fallback", se.MIN_SCORE_FALLBACK, False))
     parts = [longs(se.min_score(hits, floor, strict).select("query_id", "doc_id", "chunk_index", F.lit(use).alias("used_for")), "chunk_index")
              for use, floor, strict in floors]

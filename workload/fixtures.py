@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossierlake.operators import chunking as ck
-from dossierlake.session import spread
+from dossierlake.operators import chunking as ck, search as se
+from dossierlake.session import scratch_folder, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(ck.retrieval_chunks(docs, keep=("corpus_key",)))
 
 
+def index(spark: SparkSession, sf_dir: str) -> se.Index:
+    """The corpus as stored at ingest: postings, term statistics and vectors."""
+    return se.write_tables(ck.searchable(chunks(spark, sf_dir)), scratch_folder(spark, "index"))
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 

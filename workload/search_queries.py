@@ -81,13 +81,13 @@ def sch_postings(spark, sf):
 @query("sch_term_stats", q.with_(POSTINGS, """
 SELECT corpus_key, term, df, n_chunks, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM stats"""))
 def sch_term_stats(spark, sf):
-    out = se.term_stats(ck.searchable(fx.chunks(spark, sf)))
+    out = fx.index(spark, sf).stats
     return out.select("corpus_key", "term", "df", "n_chunks", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
 
 
 def _keyword_hits(spark, sf):
-    kept = se.placed(ck.searchable(fx.chunks(spark, sf)))
-    return se.bm25(kept, se.term_stats(kept), fx.benchmark_queries(spark, sf))
+    index = fx.index(spark, sf)
+    return se.bm25(None, index.stats, fx.benchmark_queries(spark, sf), index.postings)
 
 
 @query("sch_bm25", q.with_([*ASKED, q.bm25_cte(), q.top("kw", "bm25", 20, "kw_top")], """
@@ -147,4 +147,4 @@ _RANKED = """SELECT query_id, doc_id, chunk_index, round(semantic_score, 6) AS s
 
 @query("sch_hybrid", q.with_([*ASKED, *q.hybrid_ctes()], _RANKED))
 def sch_hybrid(spark, sf):
-    return _rounded(hy.hybrid(fx.chunks(spark, sf), fx.benchmark_queries(spark, sf)))
+    return _rounded(hy.over_tables(fx.index(spark, sf), fx.benchmark_queries(spark, sf)))
