@@ -69,6 +69,10 @@ def search_box(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
     return rows.filter(reduce(lambda a, b: a | b, tests))
 
 
+# Rows up to which a page is cut from a top-n.
+EARLY_ROWS = 10_000
+
+
 def number_rows(rows: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
     """Global 1-based positions in a total order, without a single-task window.
 
@@ -93,7 +97,14 @@ def paginate(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page; the number is brought into 1..last page."""
+    """One page; the number is brought into 1..last page.
+
+    A page that ends within the first `EARLY_ROWS` rows comes from a top-n of that length; later ones number all rows.
+    """
     last = max(1, -(-rows.count() // size))
     number = min(max(number, 1), last)
-    return paginate(rows, order, size).filter(F.col("page_no") == number)
+    if number * size > EARLY_ROWS:
+        return paginate(rows, order, size).filter(F.col("page_no") == number)
+    top = rows.orderBy(*order).limit(number * size)
+    placed = top.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))  # EARLY_ROWS rows at most
+    return placed.withColumn("page_no", F.ceil(F.col("position") / size).cast("long")).filter(F.col("page_no") == number)

@@ -125,12 +125,16 @@ def test_history_blocks_are_whole_and_ordered(spark):
     assert len(lists) == 15 and [int(m.text) for r in lists for m in r.messages] == list(range(3000))
 
 
-def test_pages_number_all_rows_once(spark):
+def test_pages_number_all_rows_once(spark, monkeypatch):
     rows = spark.range(1000).withColumn("k", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 11)).repartition(6)
     out = rg.paginate(rows, [F.desc("k"), F.col("id")], 100).orderBy("position").collect()
     want = sorted(((r.id, r.k) for r in rows.collect()), key=lambda x: (-x[1], x[0]))
     assert [(r.id, r.k) for r in out] == want and out[-1].page_no == 10
     assert {r.page_no for r in rg.page(rows, [F.col("id")], 99, 300).collect()} == {4}
+    early = rg.page(rows, [F.desc("k"), F.col("id")], 3, 100).orderBy("position").collect()
+    monkeypatch.setattr(rg, "EARLY_ROWS", 0)
+    late = rg.page(rows, [F.desc("k"), F.col("id")], 3, 100).orderBy("position").collect()
+    assert early == late == out[200:300]
 
 
 def test_dedupe_of_many_copies(spark):
