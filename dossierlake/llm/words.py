@@ -117,7 +117,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[np.ndar
             yield np.zeros(0, np.uint64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about `most_bytes` of text; a longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:
