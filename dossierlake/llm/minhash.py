@@ -23,6 +23,8 @@ from dossierlake.llm.store import stored
 # Classes and shingles of a block; a cell compares two blocks, so it holds twice that.
 BLOCK = 256
 BLOCK_SHINGLES = 500_000
+# Sketches of a block of a table bucket.
+SKETCHES = 2048
 
 
 def _set_key(shingle_set: np.ndarray) -> int:
@@ -66,10 +68,10 @@ def sketches(docs: DataFrame, shingle_words: int = 5, halves: int = 10) -> DataF
         make, f"doc_id {kind}, n_shingles long, set_key long, left_keys array<long>, right_keys array<long>, mins array<int>")
 
 
-def _table_keys(classes: DataFrame, halves: int) -> DataFrame:
-    """(node, bucket): the halves**2 table keys of every class."""
+def _table_keys(classes: DataFrame, halves: int, *more: str) -> DataFrame:
+    """(node, bucket): the halves**2 table keys of every class; `more` columns are kept."""
     h = F.lit(halves)
-    return classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(halves * halves - 1)), lambda p: F.xxhash64(
+    return classes.select("node", *more, F.explode(F.transform(F.sequence(F.lit(0), F.lit(halves * halves - 1)), lambda p: F.xxhash64(
         p, F.get("left_keys", (p / h).cast("int")), F.get("right_keys", p % h)))).alias("bucket"))
 
 
@@ -140,6 +142,68 @@ def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`label`, the smallest member of every member's group, after the groups of a[i] and b[i] became one for every i."""
+    while True:
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _missed(classes: DataFrame, groups: DataFrame, halves: int, percent: int) -> DataFrame:
+    """pairs(a, b) of candidate clusters that a bucket joins by a promising pair which `_neighbours` did not tie.
+
+    groups(node, root) are the clusters so far. Up to three members of a bucket are all tied. In larger buckets of several
+    clusters, the members outside the one with most members are compared with all others, in cells of two blocks of
+    sketches; only as many pairs come out as connect the clusters of a cell. Buckets with the same members count once.
+    """
+    keyed = _table_keys(classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), halves, "root")
+    wide = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(
+        F.xxhash64("node")).alias("members")).filter("n > 3 AND lo < hi").groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = stored(keyed.join(stored(wide, "wide"), "bucket"), "members")
+    main = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil(F.max("n") / SKETCHES).alias("blocks"),
+        F.ceil((F.sum("n") - F.max("n")) / SKETCHES).alias("outer"))
+    dealt = members.join(main, "bucket").withColumn("outside", F.col("root") != F.col("main")).withColumn("own", F.when(
+        F.col("outside"), F.col("blocks") + F.pmod(F.xxhash64("node", F.lit(5)), "outer")).otherwise(F.pmod(F.xxhash64("node", F.lit(3)), "blocks")))
+    last = F.col("blocks") + F.col("outer") - 1
+    others = F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), last)).otherwise(F.sequence(F.col("blocks"), last))
+    cells = (dealt.withColumn("other", F.explode(others)).select(
+        "bucket", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), "own", "node", "root")
+        .join(classes.select("node", "n_shingles", "mins"), "node"))
+    least = _agreement(4 * halves, percent)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches, ["bucket", "c1", "c2"]):
+            own, c1, c2, size, root = (cell.column(c).to_numpy() for c in ("own", "c1", "c2", "n_shingles", "root"))
+            mins = np.concatenate([c.flatten().to_numpy() for c in cell.column("mins").chunks]).reshape(len(own), -1)
+            order = np.argsort(size, kind="stable")
+            rows, columns = order[own[order] == c2[0]], order[own[order] == c1[0]]
+            roots, group = np.unique(root, return_inverse=True)
+            label, across, wide = np.arange(len(roots)), np.ascontiguousarray(mins[columns].T), size[columns]
+            for start in range(0, len(rows), 256):
+                some = rows[start: start + 256]
+                # Sizes are sorted: only a range of the columns can reach the threshold.
+                lo = np.searchsorted(wide, -(-size[some[0]] * percent // 100))
+                hi = np.searchsorted(wide, size[some[-1]] * 100 // percent, side="right")
+                agreed = np.zeros((len(some), max(0, hi - lo)), np.int16)
+                for f in range(mins.shape[1]):
+                    agreed += mins[some, f][:, None] == across[f, lo:hi]
+                small, large = np.minimum(size[some][:, None], wide[lo:hi]), np.maximum(size[some][:, None], wide[lo:hi])
+                i, j = np.nonzero((agreed >= least) & (small * 100 >= large * percent))
+                label = _merged(label, group[some[i]], group[columns[lo + j]])
+            more = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.record_batch([pa.array(roots[label[more]]), pa.array(roots[more])], ["a", "b"])
+
+    return (cells.repartition("bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2")
+            .mapInArrow(compare, "a long, b long").distinct())
+
+
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles any two of the sets share: products of membership columns, a few thousand shingles at a time."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -192,14 +256,14 @@ def _linked(cells: DataFrame, shingle_words: int, percent: int) -> DataFrame:
             .mapInArrow(compare, "a long, b long, blocks int"))
 
 
-def _roots(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """(node, root) of the classes that are linked to others, from candidate pairs(a, b).
+def _roots(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """(node, root) of the classes that are linked to others, from candidate groups(node, root).
 
     What candidates tie together, directly or over others, is a cluster. Clusters are compared in cells of two blocks of
     bounded size. Those of one block are done at once. Larger ones first compare each block with itself and with the first
     one; where that leaves a cluster in several components, classes outside its main component are compared with all others.
     """
-    groups = components(pairs).select("node", F.col("root").alias("cluster")).join(classes.select("node", "rep", "n_shingles"), "node")
+    groups = groups.select("node", F.col("root").alias("cluster")).join(classes.select("node", "rep", "n_shingles"), "node")
     sizes = groups.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = stored(groups.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int")), "clusters")
     # Asked for as a merge join, so the plan is the same whatever the share of clustered documents.
@@ -248,7 +312,11 @@ def near_duplicate_classes(docs: DataFrame, shingle_words: int = 5, percent: int
     classes = stored(usable.groupBy(F.col("set_key").alias("node")).agg(
         F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "left_keys", "right_keys", "mins"))), "classes")
     candidates = stored(_promising(_neighbours(classes, halves), classes, halves, percent), "candidates")
-    roots = _roots(candidates, classes, docs, shingle_words, percent)
+    groups = components(candidates)
+    missed = stored(_missed(classes, groups, halves, percent), "missed")
+    if not missed.isEmpty():
+        groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed))
+    roots = _roots(groups, classes, docs, shingle_words, percent)
     named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = named.join(smallest, "root").select(F.col("node").alias("set_key"), "component_id")

@@ -64,6 +64,19 @@ def test_a_family_over_many_blocks(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in minhash.near_duplicate_classes(docs, shingle_words=2).collect()} == want
 
 
+@pytest.mark.parametrize("sketches", [64, 2048])
+def test_near_copies_among_strangers_of_one_passage(spark, monkeypatch, sketches):
+    """Longer texts that hold the passage of two near copies stand between them in every bucket."""
+    passage = [f"p{i}" for i in range(101)]
+    rows = [(i, " ".join(passage + [f"o{i}x{k}" for k in range(5 if i < 2 else 35)])) for i in range(602)]
+    want = {i: max(0, i - 1) and i for i, _ in rows}
+    sets = [shingle_set(t, 2) for _, t in rows[:3]]
+    assert 100 * len(sets[0] & sets[1]) > 90 * len(sets[0] | sets[1]) and 100 * len(sets[0]) < 80 * len(sets[2])
+    monkeypatch.setattr(minhash, "SKETCHES", sketches, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicate_classes(docs, shingle_words=2).collect()} == want
+
+
 def test_drop_near_duplicates(odd, none):
     kept = minhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
