@@ -38,9 +38,9 @@ def ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_benchmark_decontamination", sql.LEAKS)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
-    hit = F.size(F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["word"], m["word"] + m["n_words"] - 1)))))
+    found = leaks.overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct("items"))
+    hit = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda m: F.sequence(m["word"], m["word"] + m["n_words"] - 1)))))
     return found.select(
         "row.doc_id", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))

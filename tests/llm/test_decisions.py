@@ -183,6 +183,30 @@ def test_leaks(spark, odd, none, block_bytes):
     assert leaks.decontaminate(none, bench).count() == 0 and leaks.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_leaks_of_a_frequent_passage(spark, monkeypatch):
+    """Results are listed without expanding the places of all items for all documents; small chunks give the same matches."""
+    prefix = [f"q{i}" for i in range(30)]
+    items = [(str(i), " ".join(prefix + [f"own{i}"])) for i in range(2_000)]
+    texts = ["before " + " ".join(prefix) + f" after {i}" for i in range(1_000)] + ["clean text"]
+    block = leaks.windows([i for i, _ in items], [t for _, t in items], 10)
+    shard = leaks.occurrences(pa.array(texts), block)
+    assert len(shard.window) == 1_000 * 21
+    assert list(leaks.hit_words(shard, block)) == [(t, 1, 30) for t in range(1_000)]
+    assert all(len(found) == 2_000 for _, found in leaks.hit_items(shard, block))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[-30:])], "doc_id long, text string")
+    bench = spark.createDataFrame(items[:40], "item_id string, text string")
+    for chunk in (1, 50, 1 << 18):
+        monkeypatch.setattr(leaks, "CHUNK", chunk)
+        small = leaks.windows([i for i, _ in items[:40]], [t for _, t in items[:40]], 10)
+        found = list(leaks.long_matches(leaks.occurrences(pa.array(texts[-30:]), small), small))
+        assert sorted(found) == sorted((t, i, 0, 1, 30) for t in range(29) for i in range(40))
+        for block_bytes in (4 << 20, 2_000):
+            got = leaks.overlaps(docs, bench, block_bytes=block_bytes).collect()
+            assert len(got) == 30 and all(sorted(r["items"]) == (sorted(i for i, _ in items[:40]) if r.row.doc_id < 29 else []) for r in got)
+            assert all({(h.word, h.n_words) for h in r.hits} == ({(1, 30)} if r.row.doc_id < 29 else set()) for r in got)
+    assert [r.doc_id for r in leaks.decontaminate(docs, bench).collect()] == [29]
+
+
 def test_suffix_array_orders_suffixes():
     ids = np.array([3, 1, 2, 1, 2, 0, 3, 1, 2, 0], np.int64)
     order = leaks.suffix_array(ids)
