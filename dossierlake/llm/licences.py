@@ -130,8 +130,6 @@ _NOISE = re.compile(r"[^a-z0-9]+")
 MATCH = "array<struct<licence:string, sentences:array<string>, first:int, last:int>>"
 # Unknown sentences that may stand between two sentences of a rule.
 MOST_GAP = 2
-# Lines that one licence sentence may run over.
-MOST_LINES = 12
 
 
 def normal(sentence: str) -> str:
@@ -160,10 +158,11 @@ def recognised(text: str | None) -> list[tuple[int, int, str]]:
         while joined:
             if joined in KNOWN:
                 best = (at, last, KNOWN[joined])
-            if last + 1 >= len(parts) or last - at >= MOST_LINES or not _open(joined):
+            if last + 1 >= len(parts) or not _open(joined):
                 break
             last += 1
-            joined = (joined + " " + parts[last]).strip()
+            if parts[last]:
+                joined += " " + parts[last]
         if best:
             out.append(best)
             at = best[1]

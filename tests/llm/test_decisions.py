@@ -113,6 +113,20 @@ def test_licence_rules():
     assert licences.matches(None) == licences.matches("") == licences.matches("the mit of licences") == []
 
 
+@pytest.mark.parametrize("columns, spacing", [(16, "\n"), (30, "\n"), (60, "\n\n"), (16, "\n\n\n"), (60, "\n# \n")])
+def test_licence_sentences_over_many_lines(columns, spacing):
+    """Narrow and double-spaced grants against the sentence itself."""
+    import textwrap
+    for name in ("mit-grant", "gpl3-later", "isc-grant"):
+        sentence = next(s for s, n in licences.KNOWN.items() if n == name)
+        lines = textwrap.wrap(sentence, columns)
+        text = "Some text.\n" + spacing.join(lines) + ".\nMore text."
+        assert len(lines) * spacing.count("\n") > 5
+        (first, last, found), = licences.recognised(text)
+        assert found == name and first == 1 and last == 1 + (len(lines) - 1) * spacing.count("\n")
+        assert len(licences.matches(text)) == 1
+
+
 def test_licences_of_odd_texts(odd, none):
     assert all(r.matches == [] for r in licences.scan(odd).collect()) and licences.scan(none).count() == 0
 
