@@ -36,7 +36,10 @@ consent gdpr notice notices alert alerts popup modal overlay sidebar side rail n
 masthead topbar toolbar comment comments commentlist disqus reply replies respond reactions discussion share sharing social follow related recommended recommendations
 newsletter subscribe subscription signup login search pagination pager widget widgets copyright legal disclaimer skip hidden contentinfo complementary""".split())
 _INSIDE_WORDS = frozenset("article main content post entry story body text maincontent articlebody postcontent entrycontent articlecontent".split())
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# Every attribute with its value, so that names within names or values are not taken for attributes.
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+# What a class or id says about the state or subject of an element, not about its place.
+_STATE = re.compile(r"(?:^|--|__)(?:has|have|with|without|no|not|overflow|category|tag|format)(?:[-_]|(?=[A-Z])).*$|^.*[-_](?:open|opened|closed|enabled|disabled)$")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -45,25 +48,26 @@ class Block:
     text: str
     words: int
     linked: int
-    outside: bool
+    outside: int
     inside: bool
     heading: bool
 
 
-def _place(name: str, rest: str) -> tuple[bool, bool]:
-    """Whether an element by its name and attributes stands outside or inside the main text."""
-    outside, inside = name in _OUTSIDE, name in _INSIDE
+def _place(name: str, rest: str) -> tuple[int, bool]:
+    """Whether an element stands outside the main text, 2 by its name, role or being hidden and 1 by a class or id word, or inside."""
+    outside, inside = 2 * (name in _OUTSIDE), name in _INSIDE
     if rest and "=" in rest or "hidden" in rest:
         for attribute, value in _ATTRIBUTE.findall(rest):
             attribute, value = attribute.lower(), value.strip("\"'")
             if attribute in ("class", "id", "role"):
-                parts = {p.lower() for p in _PARTS.findall(value)}
-                outside |= name not in ("html", "body") and bool(parts & _OUTSIDE_WORDS)
+                parts = {p.lower() for token in value.split() for p in _PARTS.findall(_STATE.sub("", token))}
+                if name not in ("html", "body") and parts & _OUTSIDE_WORDS:
+                    outside = max(outside, 2 if attribute == "role" else 1)
                 inside |= bool(parts & _INSIDE_WORDS)
             elif attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true":
-                outside = True
+                outside = 2
             elif attribute == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                outside = True
+                outside = 2
     return outside, inside and not outside
 
 
@@ -71,7 +75,7 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order. Block-level tags end a block, inline tags do not; open elements are kept on a
     stack, an end tag closes everything up to its start tag and is ignored if there is none."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, int, bool]] = []
     pieces: list[tuple[str, bool]] = []
     links = 0
 
@@ -80,7 +84,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(p for p, _ in pieces).split())
             if text:
                 linked = len("".join(p for p, in_link in pieces if in_link).split())
-                outside, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                outside, inside = (stack[-1][1], stack[-1][2]) if stack else (0, False)
                 heading = any(name in _HEADINGS for name, _, _ in stack[-3:])
                 out.append(Block(text, len(text.split()), linked, outside, inside, heading))
             pieces.clear()
@@ -118,17 +122,20 @@ def blocks(page: str) -> list[Block]:
                 stack.clear()
             if not m["rest"].rstrip().endswith("/"):
                 outside, inside = _place(name, m["rest"])
-                above = stack[-1] if stack else ("", False, False)
-                if name == "header":
-                    outside = outside or not above[2]
-                stack.append((name, above[1] or outside, (above[2] or inside) and not outside))
+                above = stack[-1] if stack else ("", 0, False)
+                if name == "header" and not above[2]:
+                    outside = 2
+                # A first article under a class or id word, like a sidebar around the page, is judged by its words and links.
+                if name in _INSIDE and above[1] == 1 and not any(n in _INSIDE for n, _, _ in stack):
+                    above, inside = (name, 0, False), False
+                stack.append((name, max(above[1], outside), (above[2] or inside) and not outside))
     if at < len(page):
         pieces.append((entities.unescape(page[at:]), links > 0))
     close_block()
     return out
 
 
-# Labelled blocks. Columns: stands outside, stands inside, is a heading, words, link density in percent, words and link
+# Labelled blocks. Columns: stands outside (1 by a class or id word only, 2 by more), stands inside, is a heading, words, link density in percent, words and link
 # density of the block before and of the block after (0 and 0 at the ends), and whether it belongs to the main text.
 LABELLED = """
 0 1 1 8 0 0 0 60 0 1
@@ -174,6 +181,18 @@ LABELLED = """
 1 0 0 250 5 9 0 9 0 0
 1 0 1 5 0 70 0 45 0 0
 1 0 1 7 0 1 100 4 90 0
+1 0 0 500 2 60 0 120 0 1
+1 0 0 600 0 80 0 90 0 1
+1 0 0 900 0 0 0 0 0 1
+1 0 0 450 5 300 0 200 0 1
+1 0 0 500 60 60 0 120 0 0
+1 0 0 700 90 0 0 0 0 0
+2 0 0 500 2 60 0 120 0 0
+2 0 0 600 0 80 0 90 0 0
+2 0 0 900 0 0 0 0 0 0
+2 0 0 450 5 300 0 200 0 0
+2 0 0 60 0 0 0 0 0 0
+2 0 0 2 100 1 100 2 100 0
 0 0 0 1 100 0 0 1 100 0
 0 0 0 2 100 2 100 2 100 0
 0 0 0 3 90 1 100 50 0 0

@@ -147,6 +147,27 @@ def test_main_text(page):
     assert boilerplate.main_text(page, boilerplate.grow()) == PAGES[page]
 
 
+STORY = "One sentence of the story follows another until all of it is told and nothing is left out. " * 3
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='layout has-sidebar'>{}</div>", "<div class='overflow-hidden'>{}</div>", "<article class='post comments-open category-legal'>{}</article>",
+    "<div data-hidden='false'>{}</div>", "<div title='nothing is hidden here'>{}</div>", "<div class='page sidebar'><main>{}</main></div>",
+    "<div class='layout--with-sidebar no-ads'><article>{}</article></div>"])
+def test_words_of_state_do_not_hide_the_main_text(page):
+    tree, want = boilerplate.grow(), " ".join((STORY + STORY).split())
+    assert boilerplate.main_text(page.format(f"<p>{STORY}</p><p>{STORY}</p>"), tree) == want
+
+
+def test_signs_of_other_text_still_count():
+    tree, long = boilerplate.grow(), "word " * 600
+    for page in ("<div hidden>{}</div>", "<div aria-hidden='true'>{}</div>", "<footer>{}</footer>", "<div role='navigation'>{}</div>", "<div style='display: none'>{}</div>"):
+        assert boilerplate.main_text(page.format(long), tree) == ""
+    assert boilerplate.main_text(f"<div class='promo'><p>{long}</p></div>", tree) == long.strip()
+    assert boilerplate.main_text(f"<div class='promo'><p><a href='/'>{long}</a></p></div>", tree) == ""
+    assert boilerplate.main_text(f"<article>{STORY}<div id='comments'><article class='comment'>{STORY}</article></div></article>", tree) == STORY.strip()
+
+
 def test_tree_learns_its_table():
     tree, rows = boilerplate.grow(), np.array([x.split() for x in boilerplate.LABELLED.strip().split("\n")], float)
     wrong = 0
