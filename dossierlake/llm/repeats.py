@@ -1,14 +1,16 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffixes, grouped by hashes.
 
 Of the suffixes of a text only those are retained that begin at a minimiser: the k-gram with the smallest hash among
 those of some passage of `least` words. The choice depends on the passage alone, so wherever the passage stands, the same
-of its suffixes are retained, and each passage of `least` words belongs to exactly one of them. Retained suffixes are
-ordered by their heads (the k-gram) and then by what surrounds them; neighbours in that order tell which of them repeat:
+of its suffixes are retained, and each passage of `least` words belongs to exactly one of them. No suffix
+is sorted, compared with a neighbour or extended word by word: retained suffixes are grouped by 64-bit hashes instead, first
+of their heads (the k-gram) and then of what surrounds them, and the groups tell which of them repeat:
 
 * a suffix whose whole surroundings (all passages that belong to it) equal those of another repeats with all of them;
-* one whose head only repeats is extended to the left and right passage by passage against those with the same head.
+* of one whose head only repeats, all passages that belong to it are grouped by their hashes.
 
-Neither step gathers the suffixes of a head: both are counts and minima that combine before they are shuffled.
+Grouping replaces the sort because neither step gathers the suffixes of a head: both are counts and minima that combine
+before they are shuffled, where a sort by heads would bring a frequent head to one task.
 """
 
 from __future__ import annotations
