@@ -102,7 +102,7 @@ def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op9_toxicity"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
-    assert np.mean([r.predicted for r in toxic]) > 0.88 and np.mean([r.predicted for r in clean]) < 0.005
+    assert np.mean([r.predicted for r in toxic]) > 0.9 and np.mean([r.predicted for r in clean]) < 0.005
 
 
 def test_licence_rules():
