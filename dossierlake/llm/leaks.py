@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-Each task cuts its documents into shards, sorts the word suffixes of a shard by their first 16 words, and looks up every
+Each task cuts its documents into shards, sorts the word suffixes of a shard by their first 16 words (or those of a wider window), and looks up every
 test suffix in it by binary search. Matches of consecutive suffixes are joined, so each comes out with its full length
 and its place in the item and in the document. Shards hold whole documents, so their results need no merging.
 """
@@ -20,7 +20,7 @@ from dossierlake.llm import words as W
 SHARD_BYTES = 4 << 20
 # Benchmark text that a task looks up at a time; a larger benchmark takes one pass over the documents per block.
 BLOCK_BYTES = 4 << 20
-# Words by which suffixes are sorted.
+# Words by which suffixes are sorted, at least.
 DEPTH = 16
 # Benchmark places, items or matches that are held at a time while a shard's results are listed.
 CHUNK = 1 << 18
@@ -97,13 +97,13 @@ def blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[Windo
         yield windows(names, texts, width)
 
 
-def suffix_array(ids: np.ndarray) -> np.ndarray:
-    """Positions of `ids` (small whole numbers) in the order of the DEPTH values that follow them."""
+def suffix_array(ids: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Positions of `ids` (small whole numbers) in the order of the `depth` values that follow them, or of more."""
     n = len(ids)
     bits = int(max(n, int(ids.max(initial=0)))).bit_length()
     rank, order, reach = ids.astype(np.uint64), np.arange(n), 1
     at, b = np.arange(n, dtype=np.uint64), np.uint64(bits)
-    while reach < DEPTH:
+    while reach < depth:
         pair = rank << b
         pair[: max(0, n - reach)] |= rank[reach:]
         if 3 * bits <= 64:
@@ -158,7 +158,7 @@ def occurrences(column: pa.Array, block: Windows) -> Shard:
     known = np.flatnonzero(((distinct[near] == block.window) | ~used).all(axis=1))
     if not len(known):
         return nothing
-    order = suffix_array(ids)
+    order = suffix_array(ids, max(DEPTH, block.window.shape[1]))
     low, high = find(ids, order, near[known] + 1, block.length[known])
     found = high - low
     window = np.repeat(known, found)

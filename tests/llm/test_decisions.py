@@ -242,6 +242,15 @@ def test_leaks_of_a_frequent_passage(spark, monkeypatch):
     assert [r.doc_id for r in leaks.decontaminate(docs, bench).collect()] == [29]
 
 
+def test_windows_wider_than_the_sorted_words():
+    """Many texts that share 20 words and go on in different ways, in no order."""
+    head = " ".join(f"h{i}" for i in range(20))
+    texts = [f"{head} x{i * 37 % 101} y{i} z a b c" for i in range(101)]
+    block = leaks.windows([str(i) for i in range(101)], texts, 24)
+    found = {(t, i) for t, i, *_ in leaks.long_matches(leaks.occurrences(pa.array(texts), block), block)}
+    assert found == {(i, i) for i in range(101)}
+
+
 def test_suffix_array_orders_suffixes():
     ids = np.array([3, 1, 2, 1, 2, 0, 3, 1, 2, 0], np.int64)
     order = leaks.suffix_array(ids)
