@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossierlake.llm import boilerplate, exact, langid, leaks, licences, minhash, mixing, repeats, ring, toxicity
+from dossierlake.llm import boilerplate, bpe, exact, importance, interaction, langid, leaks, licences, minhash, mixing, repeats, ring, toxicity
 from dossierlake.llm import sql
 
 QUERIES, ORACLES = {}, {}
@@ -92,3 +92,23 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["n_words"])
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["first"], s["n_words"])), " ")
     return found.select("doc_id", listed("spans").alias("spans"), count("spans").alias("n_repeated"), listed("copies").alias("copies"), count("copies").alias("n_copied"))
+
+
+@query("op11_filter_interaction", sql.INTERACTION)
+def filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(interaction.stream(spark, f"{sf_dir}/documents.parquet"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_bpe")
+def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    return both.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")

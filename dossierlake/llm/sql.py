@@ -95,3 +95,36 @@ t AS (SELECT doc_id, kind, string_agg(first || '+' || n, ' ' ORDER BY first) AS
 SELECT a.doc_id, a.list AS spans, a.n AS n_repeated, coalesce(b.list, '') AS copies, coalesce(b.n, 0)::BIGINT AS n_copied
 FROM t a LEFT JOIN t b ON b.doc_id = a.doc_id AND b.kind = 'copies' WHERE a.kind = 'spans'
 """
+
+# Copies by a window over the texts, every document against every order and step.
+INTERACTION = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (
+  SELECT part, doc_id,
+    len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM w),
+m AS (SELECT f.*, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+g AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+k AS (SELECT filter_order, step, filter_order[step] AS x FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+j AS (
+  SELECT part, filter_order, step, x, n, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda y, i: [a, b, c, d, e][i]) AS fails,
+    list_min([v for v in list_transform(fails, lambda y: strpos(filter_order, y))]) AS out
+  FROM g, k),
+s AS (
+  SELECT part, filter_order, step, x,
+    sum(n) FILTER (out IS NULL OR out > step) AS kept, sum(n) FILTER (out = step) AS removed, sum(n) FILTER (list_contains(fails, x) AND out < step) AS redundant,
+    sum(n) FILTER (fails = [x]) AS unique_fails, sum(good) FILTER (out = step) AS good_lost, sum(toxic) FILTER (out = step) AS toxic_lost
+  FROM j GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM s
+"""
