@@ -65,61 +65,10 @@ def embed(col: Column, model: Callable[[list[str]], list] = hashed_vectors, batc
     return run(col)
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
+def unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """Best `k` cosines per query within each partition: (query_id, doc_id, chunk_index, cosine).
-
-    Queries are handed to the tasks one block at a time, each task keeps `k` candidates
-    per query, and the vectors never move. The caller ranks the few candidates left.
-    """
-    kind = dict(queries.dtypes)["query_id"]
-    parts = []
-    pending: list = []
-    rows = queries.select("query_id", "embedding").toLocalIterator()
-    for row in rows:
-        pending.append(row)
-        if len(pending) == block:
-            parts.append(_nearest_block(vectors, pending, k, kind))
-            pending = []
-    if pending or not parts:
-        parts.append(_nearest_block(vectors, pending, k, kind))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _nearest_block(vectors: DataFrame, block: list, k: int, kind: str) -> DataFrame:
-    ids = [r.query_id for r in block]
-    q = _unit(np.array([r.embedding for r in block], dtype=np.float64)) if block else None
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        for batch in batches:
-            if q is None or not batch.num_rows:
-                continue
-            scores = np.round(q @ _unit(_matrix(batch.column(2), q.shape[1])).T, 9)
-            docs = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), scores.shape)
-            chunks = np.broadcast_to(batch.column(1).to_numpy(zero_copy_only=False), scores.shape)
-            found = (scores, docs, chunks)
-            if best is not None:
-                found = tuple(np.concatenate(pair, axis=1) for pair in zip(best, found))
-            order = np.lexsort((found[2], found[1], -found[0]), axis=1)[:, :k]
-            best = tuple(np.take_along_axis(a, order, axis=1) for a in found)
-        if best is not None:
-            width = best[0].shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i in ids for _ in range(width)], pa.string() if kind == "string" else pa.int64()), pa.array(best[1].ravel().astype(np.int64)),
-                 pa.array(best[2].ravel().astype(np.int32)), pa.array(best[0].ravel())],
-                names=["query_id", "doc_id", "chunk_index", "cosine"])
-
-    schema = f"query_id {kind if kind == 'string' else 'bigint'}, doc_id bigint, chunk_index int, cosine double"
-    return vectors.select("doc_id", "chunk_index", "embedding").mapInArrow(scan, schema)

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dossierlake.functions import text as tx, vectors as vx
 from dossierlake.functions.arrays import rows_of
-from dossierlake.session import broadcast_if, broadcast_if_small, is_small
+from dossierlake.operators import vector_index as vi
+from dossierlake.operators.vector_index import VectorIndex
+from dossierlake.session import broadcast_if, broadcast_if_small, is_small, scratch_folder
 
 # Okapi constants, fusion weights, list lengths and score floors.
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
@@ -32,7 +34,7 @@ class Index:
 
     postings: DataFrame
     stats: DataFrame
-    vectors: DataFrame
+    vectors: VectorIndex
 
 
 def tokenise(chunks: DataFrame) -> DataFrame:
@@ -92,12 +94,12 @@ def write_tables(chunks: DataFrame, folder: str, model=vx.hashed_vectors) -> Ind
     counts = spark.read.parquet(f"{folder}/postings").groupBy("corpus_key", "term").agg(F.count("*").alias("df"))
     counts.write.mode("overwrite").parquet(f"{folder}/counts")
     _with_idf(spark.read.parquet(f"{folder}/counts"), corpus_sizes(chunks)).write.mode("overwrite").parquet(f"{folder}/term_stats")
-    chunk_vectors(chunks, model).select("corpus_key", *CHUNK_ID, "embedding").write.mode("overwrite").parquet(f"{folder}/vectors")
+    vi.write(chunk_vectors(chunks, model).select("corpus_key", *CHUNK_ID, "embedding"), f"{folder}/vectors")
     return read_tables(spark, folder)
 
 
 def read_tables(spark: SparkSession, folder: str) -> Index:
-    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in ("postings", "term_stats", "vectors")])
+    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in ("postings", "term_stats")], vi.read(spark, f"{folder}/vectors"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -152,18 +154,17 @@ def chunk_vectors(chunks: DataFrame, model=vx.hashed_vectors, text: str = "text"
     return chunks.withColumn("embedding", vx.embed(F.col(text), model))
 
 
-def semantic(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best `k` per query by similarity = 1 - cosine distance / 2.
+def semantic(vectors: DataFrame | VectorIndex, queries: DataFrame, k: int) -> DataFrame:
+    """Best `k` per query by similarity = 1 - cosine distance / 2, over an index or over vectors that are indexed for this search.
 
-    With a `corpus_key` on the queries this becomes an equi-join on that key.
+    With a `corpus_key` on the queries, each query reads the vectors of its corpus only.
     """
-    similarity = (1 + F.col("cosine")) / 2
     if "corpus_key" in queries.columns:
-        scored = pair_cosines(vectors, queries)
+        hits = vi.nearest_in_corpus(vectors.vectors if isinstance(vectors, VectorIndex) else vectors, queries, k)
     else:
-        scored = vx.nearest(vectors, queries, k)
-    hits = scored.select("query_id", *CHUNK_ID, similarity.alias("similarity"))
-    return best(hits, "similarity", k).drop("rank")
+        index = vectors if isinstance(vectors, VectorIndex) else vi.write(vectors, scratch_folder(queries.sparkSession, "vectors"))
+        hits = vi.nearest(index, queries, k)
+    return hits.select("query_id", *CHUNK_ID, ((1 + F.col("cosine")) / 2).alias("similarity"))
 
 
 def pair_cosines(vectors: DataFrame, queries: DataFrame) -> DataFrame:

@@ -93,20 +93,6 @@ def test_scoring_moves_only_the_best_hits(spark):
     assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L, doc_id", executed)
 
 
-def test_nearest_in_blocks_equals_one_pass(spark):
-    rng = random.Random(1)
-    vectors = spark.createDataFrame([(i, 0, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(999, 0, [0.0] * 8)],
-                                    "doc_id long, chunk_index int, embedding array<float>").repartition(5)
-    queries = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(11)], "query_id long, embedding array<float>")
-    one = se.best(vx.nearest(vectors, queries, 4), "cosine", 4).collect()
-    blocks = se.best(vx.nearest(vectors, queries, 4, block=3), "cosine", 4).collect()
-    assert sorted(map(tuple, one)) == sorted(map(tuple, blocks)) and len(one) == 44
-    exact = queries.crossJoin(vectors.withColumnRenamed("embedding", "e")).select(
-        "query_id", "doc_id", "chunk_index", F.round(vx.cosine(F.col("embedding"), F.col("e")), 9).alias("cosine"))
-    want = se.best(exact, "cosine", 4).collect()
-    assert {(r.query_id, r["rank"], r.doc_id) for r in one} == {(r.query_id, r["rank"], r.doc_id) for r in want}
-
-
 def test_nested_documents_of_a_huge_project_are_whole(spark):
     docs = spark.range(1000).select((F.when(F.col("id") < 600, 1).otherwise(F.col("id") % 50)).alias("project_id"),
                                     F.col("id").alias("doc_id"), F.lit("rc").alias("doc_type"))
