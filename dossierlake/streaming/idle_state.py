@@ -62,6 +62,16 @@ def start_activity(turns: DataFrame, out: str, checkpoint: str, ttl_seconds: int
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def start_sessions(turns: DataFrame, out: str, checkpoint: str, idle: int = cv.TTL_SECONDS, late: str = "1 day") -> StreamingQuery:
+    """Appends the sessions of streamed turns(conv_id, ts) once they are over: when the watermark, `late` behind the latest
+    message, has passed their last message by `idle`. A message that comes in time joins or bridges sessions that are still
+    open; one that comes later than that is left out by the watermark.
+    """
+    closed = cv.sessions(cv.timed(turns).withWatermark("at", late), idle)
+    writer = closed.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start(out)
+
+
 def start_job_status(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Writes the new status of every job that a batch touches, one folder per batch; `job_status` reads them.
 

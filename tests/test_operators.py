@@ -368,3 +368,26 @@ def test_stored_index_is_searched_without_text_or_embedding(spark, tmp_path):
     assert sorted(map(key, over.collect())) == sorted(map(key, hy.hybrid(chunks, queries).collect()))
     many = spark.range(5000).select(F.col("id").alias("query_id"), F.concat(F.lit("mot"), (F.col("id") % 60).cast("string")).alias("text"))
     assert hy.over_tables(index, many, 2).select("query_id").distinct().count() == 5000
+
+
+def test_an_exchange_refreshes_the_next_one_of_its_batch(spark):
+    turns = spark.createDataFrame([("a", 0, 0, "user", "x"), ("b", 0, 0, "user", "x"), ("c", 0, 0, "user", "x")], "conv_id string, ts long, part int, role string, text string")
+    at = {"a": [90, 180, 270], "b": [90, 190, 195, 280], "c": [250, 100, 10, 251], "d": [1]}
+    exchanges = spark.createDataFrame([(c, t, "q", "a") for c, ts in at.items() for t in ts], "conv_id string, at long, question string, answer string")
+    grown, refused = cv.append_turns(turns, exchanges, ttl=100)
+    assert sorted((r.conv_id, r.ts) for r in grown.filter("text = 'q'").collect()) == [("a", 90), ("a", 180), ("a", 270), ("b", 90), ("c", 10), ("c", 100)]
+    assert sorted((r.conv_id, r["at"], r.reason) for r in refused.collect()) == [
+        ("b", 190, "expired"), ("b", 195, "expired"), ("b", 280, "expired"), ("c", 250, "expired"), ("c", 251, "expired"), ("d", 1, "unknown")]
+
+
+def test_sessions_of_a_stream_equal_those_of_a_table(spark, tmp_path):
+    files = [[("a", 0), ("a", 99), ("b", 5)], [("a", 199), ("b", 300)], [("b", 150), ("b", 80)], [("z", 10_000)], [("b", 81), ("z", 10_001)], [("z", 20_000)]]
+    for rows in files:  # the third file is late but in time and bridges nothing closed; 81 comes after its session was over
+        spark.createDataFrame(rows, "conv_id string, ts long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = st.start_sessions(spark.readStream.schema("conv_id string, ts long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), idle=100, late="500 seconds")
+        query.awaitTermination()
+    key = lambda df: sorted((r.conv_id, r.started, r.ended, r.n_messages) for r in df.collect())
+    table = spark.createDataFrame([r for rows in files for r in rows if r != ("b", 81)], "conv_id string, ts long")
+    whole = key(cv.sessions(cv.timed(table), 100))
+    assert whole == [("a", 0, 99, 2), ("a", 199, 199, 1), ("b", 5, 150, 3), ("b", 300, 300, 1), ("z", 10_000, 10_001, 2), ("z", 20_000, 20_000, 1)]
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == whole[:-1]  # the last one is still open

@@ -78,22 +78,39 @@ def cnv_history(spark, sf):
     return cv.history(fx.turns(spark, sf))
 
 
-_EXCHANGES = f"exch AS (SELECT user_id AS conv_id, {fx.START} + event_id * 120 AS at_ts, event_type AS question, props AS answer FROM events)"
+# Every fifth event of a user comes 5 to 9 days late, so that some conversations expire within the batch.
+_LATE = "event_id * 120 + CASE WHEN event_id % 5 = 0 THEN (event_id % 9 + 1) * 86400 ELSE 0 END"
+_EXCHANGES = f"exch AS (SELECT user_id AS conv_id, {fx.START} + {_LATE} AS at_ts, event_type AS question, props AS answer FROM events)"
 
 
 @query("cnv_append_turn", q.with_([fx.TURNS, _EXCHANGES, "seen AS (SELECT conv_id, max(ts) AS last_ts FROM turns GROUP BY 1)",
-  "judged AS (SELECT e.*, last_ts, coalesce(at_ts - last_ts < 604800, false) AS ok FROM exch e LEFT JOIN seen USING (conv_id))"], """
+  "steps AS (SELECT e.*, last_ts, at_ts - greatest(last_ts, lag(at_ts) OVER (PARTITION BY conv_id ORDER BY at_ts)) >= 604800 AS gap FROM exch e LEFT JOIN seen USING (conv_id))",
+  "judged AS (SELECT *, last_ts IS NOT NULL AND coalesce(at_ts < min(at_ts) FILTER (gap) OVER (PARTITION BY conv_id), true) AS ok FROM steps)"], """
 SELECT 'turn' AS kind, conv_id, ts, role AS detail, text FROM turns
 UNION ALL SELECT 'turn', conv_id, at_ts, 'user', question FROM judged WHERE ok UNION ALL SELECT 'turn', conv_id, at_ts, 'assistant', answer FROM judged WHERE ok
 UNION ALL SELECT 'refused', conv_id, at_ts, CASE WHEN last_ts IS NULL THEN 'unknown' ELSE 'expired' END, NULL FROM judged WHERE NOT ok"""))
 def cnv_append_turn(spark, sf):
     exchanges = fx.table(spark, sf, "events").select(
-        F.col("user_id").alias("conv_id"), (F.lit(fx.START) + F.col("event_id") * 120).alias("at"), F.col("event_type").alias("question"), F.col("props").alias("answer"))
+        F.col("user_id").alias("conv_id"), (F.lit(fx.START) + F.expr(_LATE)).alias("at"), F.col("event_type").alias("question"), F.col("props").alias("answer"))
     nxt, refused = cv.append_turns(fx.turns(spark, sf), exchanges)
     return nxt.select(F.lit("turn").alias("kind"), "conv_id", "ts", F.col("role").alias("detail"), "text").union(
         refused.select(F.lit("refused"), "conv_id", "at", "reason", F.lit(None).cast("string")))
 
 
+# Gaps of over half an hour between the events of a user.
+_SESSION_IDLE = 1800
+
+
+@query("cnv_sessions", f"""
+WITH t AS (SELECT user_id AS conv_id, {fx.START} + event_id * 120 AS ts FROM events),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY conv_id ORDER BY ts) < {_SESSION_IDLE} THEN 0 ELSE 1 END AS new FROM t),
+r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY ts) AS run FROM g)
+SELECT conv_id, min(ts) AS started, max(ts) AS ended, count(*) AS n_messages FROM r GROUP BY conv_id, run""")
+def cnv_sessions(spark, sf):
+    events = fx.table(spark, sf, "events").select(F.col("user_id").alias("conv_id"), (F.lit(fx.START) + F.col("event_id") * 120).alias("ts"))
+    return cv.sessions(cv.timed(events), _SESSION_IDLE)
+
+
 @query("cnv_last_n", q.with_([fx.TURNS, "r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ts DESC, part DESC) AS r FROM turns)"], """
 SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'Utilisateur' ELSE 'Assistant' END || ' : ' || text, chr(10) ORDER BY r DESC) AS history FROM r WHERE r <= 6 GROUP BY 1"""))
 def cnv_last_n(spark, sf):
