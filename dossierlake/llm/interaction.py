@@ -6,9 +6,9 @@ doc_id has too, so a document that is first of its text today may be a copy once
 remembers the smallest id of each text with its mask, and when a smaller one comes, the counters of its part are
 corrected by a retraction of the old mask and an addition of the new one.
 
-State and counters are Parquet tables under the stream's folder, one folder for each micro-batch. A batch reads only the
-folders of the batches before and overwrites its own, so a batch that is run again after a failure counts once. The state
-of a text is the row with the smallest id, so state is appended to and never rewritten.
+Each micro-batch writes its counted rows and what it changes in the state to folders of its own, reads only the folders of
+the batches before, and overwrites its own, so a batch that is run again after a failure counts once. Counters are the
+sums of these additions and retractions, joined with the labels of their documents once, at the end.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ COPY = 1 << FILTERS.index("E")
 # Micro-batches that a set of files is dealt to. Each reads the state once, which is some tens of bytes a text.
 BATCHES = 8
 _WORD = r"[^\x20\x09-\x0D]+"
-_STATE = "text_key binary, doc_id {kind}, part string, mask int, n long, good long, toxic long"
-_COUNTERS = "part string, mask int, n long, good long, toxic long"
-_COUNTS = ("n", "good", "toxic")
+_PARTS = "array<struct<part: string, n: bigint>>"
+_ROWS = "text_key binary, doc_id {kind}, part string, mask int, n long"
+_CHANGES = f"text_key binary, mask int, doc_id {{kind}}, parts {_PARTS}, old {{kind}}, old_parts {_PARTS}"
 
 
 def stream(spark: SparkSession, path: str, batches: int = BATCHES) -> DataFrame:
@@ -47,10 +47,6 @@ def text_mask() -> Column:
     return sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(fails)), F.lit(0))
 
 
-def _sums() -> list[Column]:
-    return [F.sum(c).cast("long").alias(c) for c in _COUNTS]
-
-
 def _read(spark: SparkSession, folder: str, before: int, schema: str) -> DataFrame:
     """The rows of the batches before this one."""
     if not before:
@@ -58,66 +54,73 @@ def _read(spark: SparkSession, folder: str, before: int, schema: str) -> DataFra
     return spark.read.schema(schema).parquet(*(f"{folder}/batch={k}" for k in range(before)))
 
 
-def _batch(folder: str, labels: DataFrame, kind: str):
+def _batch(folder: str, kind: str):
+    changes = _CHANGES.format(kind=kind)
+
     def process(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         text = rows.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
         masked = (text.withColumn("words", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))
                   .select("doc_id", "part", text_mask().alias("mask"), F.unhex(F.sha2("text", 256)).alias("text_key")))
         # Repeated rows are one row from here on.
-        counted = masked.groupBy("text_key", "doc_id", "part", "mask").agg(F.count("*").alias("n"))
-        labelled = counted.join(labels, "doc_id", "left").select(
-            "text_key", "doc_id", "part", "mask", "n", *((F.col("n") * F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("good", "toxic")))
-        path = f"{folder}/new/batch={batch}"
-        labelled.write.mode("overwrite").parquet(path)
-        new = spark.read.schema(_STATE.format(kind=kind)).parquet(path)
-
+        path = f"{folder}/rows/batch={batch}"
+        masked.groupBy("text_key", "doc_id", "part", "mask").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(path)
         # A null id is neither smaller nor larger than another: such rows are never copies and have no state.
-        known = new.filter("doc_id IS NOT NULL")
-        state = _read(spark, f"{folder}/state", batch, _STATE.format(kind=kind))
-        held = state.join(known.select("text_key").distinct(), "text_key", "left_semi")
-        # State keeps every smallest id there ever was; the smallest of these is the one that counts.
-        old = held.groupBy("text_key").agg(F.min("doc_id").alias("old"))
-        least = known.groupBy("text_key").agg(F.min("doc_id").alias("least")).join(old, "text_key", "left")
-        moved = least.filter("old IS NULL OR least <= old").select("text_key", F.col("least").alias("doc_id"))
-        firsts = known.join(moved, ["text_key", "doc_id"], "left_semi")
-        firsts.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
-
-        gone = held.join(least.filter("least < old").select("text_key", F.col("old").alias("doc_id")), ["text_key", "doc_id"], "left_semi")
-        first = spark.read.schema(_STATE.format(kind=kind)).parquet(f"{folder}/state/batch={batch}")
-        as_first = lambda df, sign: df.select("part", "mask", *((F.col(c) * sign).alias(c) for c in _COUNTS))
-        as_copy = lambda df, sign: as_first(df, sign).withColumn("mask", F.col("mask").bitwiseOR(F.lit(COPY)))
-        # Every row counts as a copy; rows that are first now, or have no id, are taken back and count without that bit.
-        whole = as_copy(new, 1)
-        for rows_, sign in ((first, 1), (gone, -1), (new.filter("doc_id IS NULL"), 1)):
-            whole = whole.union(as_first(rows_, sign)).union(as_copy(rows_, -sign))
-        whole.groupBy("part", "mask").agg(*_sums()).write.mode("overwrite").parquet(f"{folder}/counters/batch={batch}")
+        new = spark.read.schema(_ROWS.format(kind=kind)).parquet(path).filter("doc_id IS NOT NULL")
+        # The state is every smallest id there ever was; of those of a text the smallest counts.
+        state = _read(spark, f"{folder}/changes", batch, changes).select("text_key", "mask", "doc_id", F.lit(None).cast(_PARTS).alias("added"), F.col("parts").alias("held"))
+        both = state.unionByName(new.select("text_key", "mask", "doc_id", F.array(F.struct("part", "n")).alias("added"), F.lit(None).cast(_PARTS).alias("held")))
+        # Lists hold the parts that one id with one text occurs in. Both groupings combine before their exchange, the second to one row a text.
+        ids = both.groupBy("text_key", "mask", "doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("added", "held")))
+        known = F.when(F.size("held") > 0, F.struct("doc_id", "held"))
+        texts = ids.groupBy("text_key", "mask").agg(F.min(F.struct("doc_id", "added")).alias("least"), F.min(known).alias("old"))
+        moved = F.col("old").isNotNull() & (F.col("least.doc_id") < F.col("old.doc_id"))
+        texts.filter(F.size("least.added") > 0).select(
+            "text_key", "mask", F.col("least.doc_id").alias("doc_id"), F.col("least.added").alias("parts"), F.when(moved, F.col("old.doc_id")).alias("old"),
+            F.when(moved, F.col("old.held")).alias("old_parts")).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
 
     return process
 
 
+def _masks(spark: SparkSession, folder: str, batches: int, kind: str) -> DataFrame:
+    """(doc_id, part, mask, n): what the batches added to and took back from the counters."""
+    rows = _read(spark, f"{folder}/rows", batches, _ROWS.format(kind=kind))
+    changes = _read(spark, f"{folder}/changes", batches, _CHANGES.format(kind=kind))
+    copy = F.col("mask").bitwiseOR(F.lit(COPY)).alias("mask")
+    # Every row with an id first counts as a copy; what is first of its text counts without that bit, until it is no more.
+    whole = rows.select("doc_id", "part", F.when(F.col("doc_id").isNull(), F.col("mask")).otherwise(copy).alias("mask"), "n")
+    for key, parts, sign in (("doc_id", "parts", 1), ("old", "old_parts", -1)):
+        one = changes.select(F.col(key).alias("doc_id"), "mask", F.explode(parts).alias("p")).select("doc_id", F.col("p.part").alias("part"), "mask", (F.col("p.n") * sign).alias("n"))
+        whole = whole.union(one).union(one.select("doc_id", "part", copy, -F.col("n")))
+    return whole
+
+
 def counters(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> DataFrame:
     """(part, mask, n, good, toxic) of a finite stream docs(doc_id, text, lang, ...): documents of a part that fail exactly the filters of the mask.
 
-    `folder` holds checkpoint, state and counters; the same folder goes on where an earlier run ended. A document with
+    `folder` holds the checkpoint and what each batch wrote; the same folder goes on where an earlier run ended. A document with
     several labels counts as good or toxic if one of them says so. Texts are compared by their SHA-256.
     """
     spark = docs.sparkSession
     folder = folder or scratch_folder(spark, "interaction")
     flag = lambda c: F.max(F.coalesce((F.col(c) == 1).cast("int"), F.lit(0)))
     labels = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(flag("quality").alias("good"), flag("toxic").alias("toxic"))
-    query = (docs.select("doc_id", "text", "lang").writeStream.foreachBatch(_batch(folder, labels, dict(docs.dtypes)["doc_id"]))
+    kind = dict(docs.dtypes)["doc_id"]
+    query = (docs.select("doc_id", "text", "lang").writeStream.foreachBatch(_batch(folder, kind))
              .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    return _read(spark, f"{folder}/counters", _finished(spark, folder), _COUNTERS).groupBy("part", "mask").agg(*_sums()).filter("n <> 0")
+    found = _masks(spark, folder, _finished(spark, folder), kind).join(labels, "doc_id", "left")
+    flags = [(F.col("n") * F.coalesce(c, F.lit(0))).alias(c) for c in ("good", "toxic")]
+    return (found.select("part", "mask", "n", *flags).groupBy("part", "mask")
+            .agg(*(F.sum(c).cast("long").alias(c) for c in ("n", "good", "toxic"))).filter("n <> 0"))
 
 
 def _finished(spark: SparkSession, folder: str) -> int:
-    """Batches that are done: those with whole counters, which a batch writes last. An empty table has none."""
+    """Batches that are done: those with whole changes, which a batch writes last. An empty table has none."""
     named = spark._jvm.org.apache.hadoop.fs.Path
     files = named(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     done = 0
-    while files.exists(named(f"{folder}/counters/batch={done}/_SUCCESS")):
+    while files.exists(named(f"{folder}/changes/batch={done}/_SUCCESS")):
         done += 1
     return done
 
