@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake.llm import words as W
-from dossierlake.llm.components import components
+from dossierlake.llm.components import components, merged
 from dossierlake.llm.store import stored
 
 # Classes and shingles of a block; a cell compares two blocks, so it holds twice that.
@@ -142,19 +142,6 @@ def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """`label`, the smallest member of every member's group, after the groups of a[i] and b[i] became one for every i."""
-    while True:
-        low, new = np.minimum(label[a], label[b]), label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _missed(classes: DataFrame, groups: DataFrame, halves: int, percent: int) -> DataFrame:
     """pairs(a, b) of candidate clusters that a bucket joins by a promising pair which `_neighbours` did not tie.
 
@@ -196,7 +183,7 @@ def _missed(classes: DataFrame, groups: DataFrame, halves: int, percent: int) ->
                     agreed += mins[some, f][:, None] == across[f, lo:hi]
                 small, large = np.minimum(size[some][:, None], wide[lo:hi]), np.maximum(size[some][:, None], wide[lo:hi])
                 i, j = np.nonzero((agreed >= least) & (small * 100 >= large * percent))
-                label = _merged(label, group[some[i]], group[columns[lo + j]])
+                label = merged(label, group[some[i]], group[columns[lo + j]])
             more = np.flatnonzero(label != np.arange(len(label)))
             yield pa.record_batch([pa.array(roots[label[more]]), pa.array(roots[more])], ["a", "b"])
 
