@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dossierlake.llm import words as W
 from dossierlake.llm.components import components, merged
 from dossierlake.llm.store import stored
+from dossierlake.session import broadcast_if_small
 
 # Classes and shingles of a block; a cell compares two blocks, so it holds twice that.
 BLOCK = 256
@@ -75,14 +76,20 @@ def _table_keys(classes: DataFrame, halves: int, *more: str) -> DataFrame:
         p, F.get("left_keys", (p / h).cast("int")), F.get("right_keys", p % h)))).alias("bucket"))
 
 
-def _neighbours(classes: DataFrame, halves: int) -> DataFrame:
-    """Distinct pairs(a, b) that tie every member of a bucket to the bucket's first member and to the one before it.
+def _neighbours(classes: DataFrame, halves: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs(a, b) that tie every member of a bucket to the bucket's first member and to the one before it, and
+    the buckets(bucket, n, members) of more than three members, of those with the same members one.
 
     Buckets are read in sorted order and never held, so a bucket of any size takes one pass and gives two pairs a member.
     """
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = first = last = None
+        n, members = 0, np.uint64(0)
+
+        def rows(a, b, size) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(size, np.int64))], ["a", "b", "n"])
+
         for batch in batches:
             keys, nodes = (batch.column(c).to_numpy() for c in ("bucket", "node"))
             if not len(keys):
@@ -95,11 +102,27 @@ def _neighbours(classes: DataFrame, halves: int) -> DataFrame:
             a = np.concatenate((center[old], before[old]))
             b = np.concatenate((nodes[old], nodes[old]))
             pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            yield rows(pairs[0], pairs[1], np.zeros(pairs.shape[1]))
+            # Sizes and members of the buckets that end here; the last one may go on.
+            edges = np.unique(np.concatenate(([0], np.flatnonzero(new))))
+            size, mark = np.diff(np.append(edges, len(keys))), np.bitwise_xor.reduceat(W.mix(nodes.view(np.uint64)), edges)
+            if new[0]:
+                size, mark, names = np.concatenate(([n], size)), np.concatenate(([members], mark)), np.concatenate(([0 if bucket is None else bucket], keys[edges]))
+            else:
+                names = keys[edges].copy()
+                size[0] += n
+                mark[0] ^= members
+            wide = np.flatnonzero(size[:-1] > 3)
+            yield rows(names[wide], mark[wide].view(np.int64), size[wide])
+            n, members = int(size[-1]), mark[-1]
             bucket, first, last = keys[-1], center[-1] if old[-1] else nodes[-1], nodes[-1]
+        if n > 3:
+            yield rows([bucket], np.array([members]).view(np.int64), [n])
 
     keyed = _table_keys(classes, halves).repartition("bucket").sortWithinPartitions("bucket", "node")
-    return keyed.mapInArrow(tie, "a long, b long").distinct()
+    found = stored(keyed.mapInArrow(tie, "a long, b long, n long"), "buckets")
+    wide = found.filter("n > 0").groupBy("n", F.col("b").alias("members")).agg(F.min("a").alias("bucket"))
+    return found.filter("n = 0").select("a", "b").distinct(), wide
 
 
 def _agreement(functions: int, percent: int) -> int:
@@ -142,17 +165,18 @@ def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _missed(classes: DataFrame, groups: DataFrame, halves: int, percent: int) -> DataFrame:
+def _missed(classes: DataFrame, groups: DataFrame, wide: DataFrame, halves: int, percent: int) -> DataFrame:
     """pairs(a, b) of candidate clusters that a bucket joins by a promising pair which `_neighbours` did not tie.
 
-    groups(node, root) are the clusters so far. Up to three members of a bucket are all tied. In larger buckets of several
+    groups(node, root) are the clusters so far, wide(bucket, ...) the larger buckets. Up to three members of a bucket are all tied. In larger buckets of several
     clusters, the members outside the one with most members are compared with all others, in cells of two blocks of
     sketches; only as many pairs come out as connect the clusters of a cell. Buckets with the same members count once.
     """
-    keyed = _table_keys(classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), halves, "root")
-    wide = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(
-        F.xxhash64("node")).alias("members")).filter("n > 3 AND lo < hi").groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = stored(keyed.join(stored(wide, "wide"), "bucket"), "members")
+    # The list of buckets is broadcast if it is counted to be small; then the keys of other buckets end where they are made.
+    held = _table_keys(classes, halves).join(broadcast_if_small(wide.select("bucket")), "bucket")
+    rooted = stored(held.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "members")
+    parted = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    members = rooted.join(broadcast_if_small(parted), "bucket")
     main = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil(F.max("n") / SKETCHES).alias("blocks"),
         F.ceil((F.sum("n") - F.max("n")) / SKETCHES).alias("outer"))
@@ -298,9 +322,10 @@ def near_duplicate_classes(docs: DataFrame, shingle_words: int = 5, percent: int
     usable = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(usable.groupBy(F.col("set_key").alias("node")).agg(
         F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "left_keys", "right_keys", "mins"))), "classes")
-    candidates = stored(_promising(_neighbours(classes, halves), classes, halves, percent), "candidates")
+    ties, wide = _neighbours(classes, halves)
+    candidates = stored(_promising(ties, classes, halves, percent), "candidates")
     groups = components(candidates)
-    missed = stored(_missed(classes, groups, halves, percent), "missed")
+    missed = stored(_missed(classes, groups, stored(wide, "wide"), halves, percent), "missed")
     if not missed.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed))
     roots = _roots(groups, classes, docs, shingle_words, percent)
