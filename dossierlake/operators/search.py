@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dossierlake.functions import text as tx, vectors as vx
 from dossierlake.functions.arrays import rows_of
-from dossierlake.operators import vector_index as vi
+from dossierlake.operators import keyword_index as ki, vector_index as vi
+from dossierlake.operators.keyword_index import KeywordIndex
 from dossierlake.operators.vector_index import VectorIndex
 from dossierlake.session import broadcast_if, broadcast_if_small, is_small, scratch_folder
 
@@ -32,7 +33,7 @@ CHUNK_ID = ["doc_id", "chunk_index"]
 class Index:
     """What searching needs of a corpus: postings, term statistics and chunk vectors, as stored tables."""
 
-    postings: DataFrame
+    postings: KeywordIndex
     stats: DataFrame
     vectors: VectorIndex
 
@@ -71,10 +72,11 @@ def term_stats(chunks: DataFrame, corpus: str = "corpus_key") -> DataFrame:
     # Read twice below, for the terms and for their mean.
     counts = seen.filter(F.col("term").isNotNull()).groupBy("corpus_key", "term").agg(F.count("*").alias("df")).persist(
         StorageLevel.MEMORY_AND_DISK)
-    return _with_idf(counts, corpus_sizes(chunks, corpus))
+    return with_idf(counts, corpus_sizes(chunks, corpus))
 
 
-def _with_idf(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+def with_idf(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Term statistics from counts(corpus_key, term, df) and sizes(corpus_key, n_chunks, avgdl)."""
     few = is_small(sizes)
     raw = counts.join(broadcast_if(few, sizes), "corpus_key").withColumn(
         "_idf", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -84,22 +86,37 @@ def _with_idf(counts: DataFrame, sizes: DataFrame) -> DataFrame:
         "corpus_key", "term", "df", "n_chunks", "avgdl", idf.alias("idf"))
 
 
-def write_tables(chunks: DataFrame, folder: str, model=vx.hashed_vectors) -> Index:
-    """Stores postings, term statistics and vectors of searchable chunks, once at ingest.
-
-    The text is placed once for the postings and read once for the vectors; the statistics come from the postings.
-    """
+def write_keywords(chunks: DataFrame, folder: str) -> tuple[KeywordIndex, DataFrame]:
+    """Stores postings in blocks and term statistics of searchable chunks; the statistics come from the postings."""
     spark = chunks.sparkSession
-    postings(placed(chunks)).write.mode("overwrite").parquet(f"{folder}/postings")
-    counts = spark.read.parquet(f"{folder}/postings").groupBy("corpus_key", "term").agg(F.count("*").alias("df"))
-    counts.write.mode("overwrite").parquet(f"{folder}/counts")
-    _with_idf(spark.read.parquet(f"{folder}/counts"), corpus_sizes(chunks)).write.mode("overwrite").parquet(f"{folder}/term_stats")
+    postings(placed(chunks)).write.mode("overwrite").parquet(f"{folder}/plain")
+    plain = spark.read.parquet(f"{folder}/plain")
+    plain.groupBy("corpus_key", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/counts")
+    corpus_sizes(chunks).write.mode("overwrite").parquet(f"{folder}/sizes")
+    sizes = spark.read.parquet(f"{folder}/sizes")
+    with_idf(spark.read.parquet(f"{folder}/counts"), sizes).write.mode("overwrite").parquet(f"{folder}/term_stats")
+    ki.write(plain, sizes, f"{folder}/postings", K1, B)
+    return read_keywords(spark, folder)
+
+
+def read_keywords(spark: SparkSession, folder: str) -> tuple[KeywordIndex, DataFrame]:
+    return ki.read(spark, f"{folder}/postings"), spark.read.parquet(f"{folder}/term_stats")
+
+
+def write_tables(chunks: DataFrame, folder: str, model=vx.hashed_vectors) -> Index:
+    """Stores postings, term statistics and vectors of searchable chunks, once at ingest."""
+    write_keywords(chunks, folder)
     vi.write(chunk_vectors(chunks, model).select("corpus_key", *CHUNK_ID, "embedding"), f"{folder}/vectors")
-    return read_tables(spark, folder)
+    return read_tables(chunks.sparkSession, folder)
 
 
 def read_tables(spark: SparkSession, folder: str) -> Index:
-    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in ("postings", "term_stats")], vi.read(spark, f"{folder}/vectors"))
+    return Index(*read_keywords(spark, folder), vi.read(spark, f"{folder}/vectors"))
+
+
+def keyword_top(index: KeywordIndex, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best `k` of `bm25` over stored blocks, of which those that cannot hold a hit are not read: with `rank`."""
+    return ki.top(index, stats, query_terms(queries), k, K1, B)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -118,8 +135,8 @@ def placed(chunks: DataFrame) -> DataFrame:
     return chunks.repartition(*CHUNK_ID)
 
 
-def bm25(chunks: DataFrame | None, stats: DataFrame, queries: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Every positive score of searchable chunks, or of their stored postings: (query_id, doc_id, chunk_index, bm25).
+def bm25(chunks: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every positive score of searchable chunks: (query_id, doc_id, chunk_index, bm25).
 
     Scores use the statistics of the chunk's own corpus and are compared across corpora.
     A `corpus_key` on the queries restricts each query to that corpus.
@@ -134,8 +151,7 @@ def bm25(chunks: DataFrame | None, stats: DataFrame, queries: DataFrame, stored:
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     asked = broadcast_if(few, terms.select("term").distinct())
-    posts = postings(chunks, terms=asked) if stored is None else stored.join(asked, "term", "left_semi")
-    hits = posts.join(terms, keys).join(used, ["corpus_key", "term"])
+    hits = postings(chunks, terms=asked).join(terms, keys).join(used, ["corpus_key", "term"])
     scored = hits.groupBy("query_id", *CHUNK_ID).agg(F.sum(part).alias("_sum")).filter(F.col("_sum") > 0)
     # Rounded so that the order of summing never decides a rank.
     return scored.select("query_id", *CHUNK_ID, F.round("_sum", 6).alias("bm25"))

@@ -297,20 +297,6 @@ def test_text_functions_equal_python(spark):
     assert rows[3].k == "les titres" and rows[4].f == "e"
 
 
-def test_ingest_takes_each_file_once(spark, tmp_path):
-    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
-    text = "Une phrase assez longue pour compter. " * 3
-    schema = "doc_id long, text string, source string"
-    spark.createDataFrame([(1, text, "a")], schema).write.mode("append").parquet(src)
-    read = lambda: sorted(r.doc_id for r in spark.read.parquet(out).collect())
-    stream = lambda: si.document_stream(spark, src, spark.read.parquet(src).schema)
-    si.start_ingest(stream(), out, check).awaitTermination()
-    assert read() == [1]
-    spark.createDataFrame([(2, text, "b")], schema).write.mode("append").parquet(src)
-    si.start_ingest(stream(), out, check).awaitTermination()
-    assert read() == [1, 2]
-
-
 def test_job_status_stream(spark, tmp_path):
     src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     schema = "job_id long, event_id long, ts timestamp, status string, current long, total int"

@@ -9,6 +9,7 @@ from dossierlake.operators import chunking as ck, classify as cl, conversations
 from dossierlake.plans import answering as an, drafting as dr, fallback as fb, hybrid as hy, summarising as sm
 from dossierlake.session import scratch_folder
 from dossierlake.sources import intake as it
+from dossierlake.sources import corpus as cp
 from dossierlake.streaming import idle_state as st, ingest as si
 from workload import fixtures as fx, sqltext as q
 from workload.extract_queries import REPORT_TEMPLATE
@@ -186,8 +187,8 @@ def str_ingest(spark, sf):
     schema = fx.table(spark, sf, "documents").schema
     root = scratch_folder(spark, "ingest")
     docs = si.document_stream(spark, sf, schema, files="documents.parquet")
-    si.start_ingest(docs, f"{root}/chunks", f"{root}/checkpoint").awaitTermination()
-    return longs(spark.read.parquet(f"{root}/chunks"), "chunk_index", "word_count")
+    si.start_ingest(docs, f"{root}/corpus", f"{root}/checkpoint").awaitTermination()
+    return longs(cp.opened(spark, f"{root}/corpus").chunks(), "chunk_index", "word_count")
 
 
 # ---------------------------------------------------------------- search compositions
@@ -217,7 +218,7 @@ SELECT query_id, doc_id, chunk_index, round(semantic_score, 6) AS semantic_score
 def sch_fuse(spark, sf):
     index = fx.index(spark, sf)
     queries = fx.benchmark_queries(spark, sf)
-    keyword = se.best(se.bm25(None, index.stats, queries, index.postings), "bm25", 2 * se.TOP_K)
+    keyword = se.keyword_top(index.postings, index.stats, queries, 2 * se.TOP_K)
     meaning = se.semantic(index.vectors, queries.withColumn("embedding", vx.embed(F.col("text"))), 2 * se.TOP_K)
     out = se.fuse(se.minmax_short(meaning, "similarity", "semantic"), se.minmax_short(keyword, "bm25", "keyword"))
     return longs(out.select("query_id", "doc_id", "chunk_index", *[F.round(c, 6).alias(c) for c in ("semantic_score", "bm25_score")], "hybrid_score", "source"), "chunk_index")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossierlake.operators import extraction as ex, review as rv
+from dossierlake.operators import extraction as ex, markup as mk, review as rv
+from dossierlake.plans import extracting as xt
 from dossierlake.sources import sinks as sk
 from workload import fixtures as fx, sqltext as q
 from workload.kit import query
@@ -122,6 +123,44 @@ def ext_completeness(spark, sf):
     return longs(ex.keep_attempts(attempts).drop("expected"), "attempt", "n_rows")
 
 
+MAPPING = {"Repère": "reference", "Conclusion": "resultat"}
+
+
+def read_ids(prompts, temperature, max_tokens, schema=None):
+    """Stand-in for a model that reads: one row for each id-like word of the text, present where its number is even."""
+    import json
+    import re
+
+    found = [re.findall(r"(?<!\w)[A-Z]{1,5}-?[0-9]{2,5}(?!\w)", p.split(xt.TEXT_MARK, 1)[1]) for p in prompts]
+    return [json.dumps([{"reference": x, "resultat": "présence" if int(x[-1]) % 2 == 0 else "absence"} for x in ids], ensure_ascii=False) for ids in found]
+
+
+_FOUND = [fx.reshaped_sql(CLEAN_SQL), f"w AS (SELECT doc_id, {q.words('text')} AS w FROM docs), g AS (SELECT doc_id, i // 1200 AS group_no, array_to_string(list_slice(w, i + 1, i + 1500), ' ') AS t FROM (SELECT doc_id, w, unnest(range(0, len(w), 1200)) AS i FROM w))",
+  rf"""ids AS (SELECT doc_id, group_no, list_transform(regexp_extract_all(regexp_replace(t, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'),
+    '(?:^|[^\p{{L}}\p{{N}}_])([A-Z]{{1,5}}(?:--)?\p{{Nd}}{{2,5}})(?:[^\p{{L}}\p{{N}}_]|$)', 1), lambda x: replace(x, '--', '-')) AS ids FROM g)"""]
+
+
+@query("ext_retry", q.with_(_FOUND, """
+SELECT doc_id, group_no, len(ids)::BIGINT AS n_rows, greatest(len(list_distinct(ids)), 1)::BIGINT AS expected, CASE WHEN len(ids) = 0 THEN 2 ELSE 1 END::BIGINT AS calls FROM ids"""))
+def ext_retry(spark, sf):
+    """Groups that give no row are asked once more, others are not."""
+    _, attempts = xt.ask_groups(mk.word_windows(reports(spark, sf)), MAPPING, read_ids)
+    out = attempts.groupBy("doc_id", "group_no").agg(F.max("n_rows").alias("n_rows"), F.max("expected").alias("expected"), F.count("*").alias("calls"))
+    return longs(out, "group_no", "n_rows", "expected")
+
+
+@query("ext_results", q.with_([*_FOUND, "one AS (SELECT doc_id, group_no, generate_subscripts(ids, 1) AS i, unnest(ids) AS x FROM ids)",
+  "firsts AS (SELECT doc_id, min(group_no * 100000 + i) AS o, min_by(x, group_no * 100000 + i) AS x FROM one GROUP BY doc_id, lower(x))"], """
+SELECT doc_id, string_agg(x, ' ' ORDER BY o) AS ids, count(*) AS total, count(*) FILTER (right(x, 1)::INT % 2 = 0) AS presence, count(*) FILTER (right(x, 1)::INT % 2 = 1) AS absence, 0::BIGINT AS unknown
+FROM firsts GROUP BY 1"""))
+def ext_results(spark, sf):
+    """From groups to the rows and the statistics of whole documents."""
+    rows, _ = xt.ask_groups(mk.word_windows(reports(spark, sf)), MAPPING, read_ids)
+    kept = fx.stored(xt.whole_document(rows))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", F.col("fields.reference").alias("x")))), lambda r: r["x"]), " ")
+    return kept.groupBy("doc_id").agg(ids.alias("ids")).join(ex.outcome_stats(kept), "doc_id")
+
+
 @query("ext_dedupe", q.with_(PARSED, "SELECT doc_id, row_no, localisation, reference, resultat FROM dedup"))
 def ext_dedupe(spark, sf):
     return longs(ex.project_mapping(ex.dedupe(rows(spark, sf)), TARGETS), "row_no")

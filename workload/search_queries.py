@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from dossierlake.operators import chunking as ck, search as se
 from dossierlake.functions import vectors as vx
 from dossierlake.plans import hybrid as hy
+from dossierlake.session import scratch_folder
+from dossierlake.sources import corpus as cp
 from workload import fixtures as fx, sqltext as q
 from workload.kit import query
 
@@ -81,24 +83,56 @@ def sch_postings(spark, sf):
 @query("sch_term_stats", q.with_(POSTINGS, """
 SELECT corpus_key, term, df, n_chunks, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM stats"""))
 def sch_term_stats(spark, sf):
-    out = fx.index(spark, sf).stats
+    out = se.term_stats(ck.searchable(fx.chunks(spark, sf)))
     return out.select("corpus_key", "term", "df", "n_chunks", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
 
 
 def _keyword_hits(spark, sf):
-    index = fx.index(spark, sf)
-    return se.bm25(None, index.stats, fx.benchmark_queries(spark, sf), index.postings)
+    """Every positive score, for the scaling of whole lists."""
+    chunks = se.placed(ck.searchable(fx.chunks(spark, sf)))
+    return se.bm25(chunks, se.term_stats(chunks), fx.benchmark_queries(spark, sf))
 
 
 @query("sch_bm25", q.with_([*ASKED, q.bm25_cte(), q.top("kw", "bm25", 20, "kw_top")], """
 SELECT query_id, doc_id, chunk_index, bm25, rank FROM kw_top"""))
 def sch_bm25(spark, sf):
-    hits = _keyword_hits(spark, sf)
-    top = se.best(hits, "bm25", 2 * se.TOP_K)
+    index, stats = se.write_keywords(ck.searchable(fx.chunks(spark, sf)), scratch_folder(spark, "keywords"))
+    top = se.keyword_top(index, stats, fx.benchmark_queries(spark, sf), 2 * se.TOP_K)
     return top.select("query_id", "doc_id", F.col("chunk_index").cast("long"), "bm25",
                       F.col("rank").cast("long"))
 
 
+_LEFT = q.posting_ctes("chunks WHERE word_count >= 30 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+
+
+def _grown_corpus(spark, sf):
+    """All documents added in three batches, and the toxic ones erased after the second."""
+    folder = scratch_folder(spark, "corpus")
+    docs = fx.documents(spark, sf).withColumnRenamed("source", "corpus_key")
+    toxic = fx.table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
+    third = F.pmod(F.col("doc_id"), F.lit(3))
+    for k in (0, 1):
+        cp.add(spark, folder, docs.filter(third == k), f"third{k}")
+    cp.erase(spark, folder, toxic, "toxic")
+    cp.add(spark, folder, docs.filter(third == 2).join(toxic, "doc_id", "left_anti"), "third2")
+    return cp.opened(spark, folder)
+
+
+@query("sch_stats_merged", q.with_([*CHUNKS, *_LEFT], """
+SELECT corpus_key, term, df, n_chunks, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM stats"""))
+def sch_stats_merged(spark, sf):
+    """Term statistics as the sum of three batches and an erasure."""
+    out = _grown_corpus(spark, sf).stats()
+    return out.select("corpus_key", "term", "df", "n_chunks", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
+
+
+@query("cat_erase_search", q.with_([*CHUNKS, *_LEFT, *q.query_ctes(fx.BENCHMARK_QUERIES), *q.hybrid_ctes()], """
+SELECT query_id, doc_id, chunk_index, round(semantic_score, 6) AS semantic_score, round(bm25_score, 6) AS bm25_score, hybrid_score, source, rank FROM ranked"""))
+def cat_erase_search(spark, sf):
+    """Search after an erasure: postings, vectors and statistics have forgotten the toxic documents."""
+    return _rounded(hy.over_tables(_grown_corpus(spark, sf).index(), fx.benchmark_queries(spark, sf)))
+
+
 @query("sch_semantic", """
 WITH q AS (SELECT label AS query_id, list(embedding) AS vs FROM embeddings GROUP BY 1),
 qm AS (SELECT query_id, [list_avg([v[i] FOR v IN vs])::FLOAT FOR i IN range(1, 65)] AS qv FROM q),
