@@ -130,6 +130,8 @@ _NOISE = re.compile(r"[^a-z0-9]+")
 MATCH = "array<struct<licence:string, sentences:array<string>, first:int, last:int>>"
 # Unknown sentences that may stand between two sentences of a rule.
 MOST_GAP = 2
+# The sentence that is no licence beside another.
+RESERVED = "reserved"
 
 
 def normal(sentence: str) -> str:
@@ -170,9 +172,7 @@ def recognised(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
-def matches(text: str | None) -> list[dict]:
-    """The rules that a text's sentences follow, from left to right, the longest rule first; each sentence counts once."""
-    found = recognised(text)
+def _followed(found: list[tuple[int, int, str]]) -> list[dict]:
     out, at = [], 0
     while at < len(found):
         for licence, ids in ORDERED:
@@ -185,6 +185,16 @@ def matches(text: str | None) -> list[dict]:
     return out
 
 
+def matches(text: str | None) -> list[dict]:
+    """The rules that a text's sentences follow, from left to right, the longest rule first; each sentence counts once.
+
+    Many licences open with a copyright line that reserves all rights. Such a sentence stands between the others like an
+    unknown one, and counts as a licence of its own only in texts that follow no other rule.
+    """
+    found = recognised(text)
+    return _followed([s for s in found if s[2] != RESERVED]) or _followed([s for s in found if s[2] == RESERVED])
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(row, matches) for every row of docs(text, ...): `row` is the row as a struct; matches name the licence, the
     sentence identifiers and the first and last part of the text. Null, empty and unlicensed texts have no matches."""

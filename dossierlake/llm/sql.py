@@ -56,7 +56,8 @@ FROM n WINDOW w AS (PARTITION BY bare ORDER BY chars DESC, doc_id ROWS BETWEEN U
 
 
 def licences() -> str:
-    """Licence sentences within one part of the text, and runs of them by gaps; a match inside a longer one is dropped."""
+    """Licence sentences within one part of the text, and runs of them by gaps; a match inside a longer one is dropped, and so is
+    the reservation of all rights beside any other match."""
     known = ", ".join(f"('{text}', '{name}')" for text, name in _licences.KNOWN.items())
     rules = ", ".join(f"('{licence}', '{' '.join(ids)}', {len(ids)})" for licence, ids in _licences.ORDERED)
     return rf"""
@@ -66,16 +67,17 @@ p AS (
   SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) - 1 AS pos
   FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS a FROM documents)),
 f AS (
-  SELECT doc_id, pos, id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
+  SELECT doc_id, pos, id, id = '{_licences.RESERVED}' AS bare, row_number() OVER (PARTITION BY doc_id, id = '{_licences.RESERVED}' ORDER BY pos) AS k
   FROM p JOIN known ON known.s = trim(regexp_replace(lower(p.s), '[^a-z0-9]+', ' ', 'g'))),
 r AS (
-  SELECT a.doc_id, a.k, max(b.k) - a.k + 1 AS n, string_agg(b.id, ' ' ORDER BY b.k) AS ids, a.pos AS first, max(b.pos) AS last
+  SELECT a.doc_id, a.bare, a.k, max(b.k) - a.k + 1 AS n, string_agg(b.id, ' ' ORDER BY b.k) AS ids, a.pos AS first, max(b.pos) AS last
   FROM f a JOIN (SELECT unnest(range(1, 5)) AS m) ON true
-  JOIN f b ON b.doc_id = a.doc_id AND b.k BETWEEN a.k AND a.k + m - 1
-  GROUP BY a.doc_id, a.k, a.pos, m HAVING count(*) = m AND max(b.pos) - a.pos + 1 - m <= {_licences.MOST_GAP} * (m - 1)),
-h AS (SELECT doc_id, k, rules.n, licence, rules.ids, first, last FROM r JOIN rules ON rules.ids = r.ids AND rules.n = r.n)
+  JOIN f b ON b.doc_id = a.doc_id AND b.bare = a.bare AND b.k BETWEEN a.k AND a.k + m - 1
+  GROUP BY a.doc_id, a.bare, a.k, a.pos, m HAVING count(*) = m AND max(b.pos) - a.pos + 1 - m <= {_licences.MOST_GAP} * (m - 1)),
+h AS (SELECT doc_id, bare, k, rules.n, licence, rules.ids, first, last FROM r JOIN rules ON rules.ids = r.ids AND rules.n = r.n)
 SELECT doc_id, licence, ids AS sentences, first, last FROM h
-WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.k <= h.k AND o.k + o.n >= h.k + h.n AND o.n > h.n)
+WHERE NOT (bare AND EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND NOT o.bare))
+  AND NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.bare = h.bare AND o.k <= h.k AND o.k + o.n >= h.k + h.n AND o.n > h.n)
 """
 
 # Every passage of 50 words as a string, by equality.

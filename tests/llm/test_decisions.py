@@ -380,3 +380,43 @@ def test_held_out_flags(spark):
     for r in docs.select("doc_id", toxicity.held_out(4, 2).alias("h")).collect():
         assert r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
     assert minhash.near_duplicate_classes
+
+
+BSD = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+
+
+def test_reserved_rights_are_no_licence_beside_another():
+    found = lambda t: [m["licence"] for m in licences.matches(t)]
+    assert found(BSD + NAMES) == ["BSD-3-Clause"]
+    assert found(BSD) == ["BSD-2-Clause"]
+    assert "Proprietary" not in found(MIT) and set(found(MIT)) == {"MIT"}
+    assert found("Copyright 2020 X.\nAll rights reserved.\nSome text.") == ["Proprietary"]
+    assert found("All rights reserved.\nSPDX-License-Identifier: ISC\n") == ["ISC"]
