@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dossierlake.llm.store import stored
+from dossierlake.llm.words import release
 
 # Edges that a task merges at a time.
 CHUNK = 1 << 20
@@ -66,6 +67,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, n = [], 0
     if held:
         yield flush()
+    release()
 
 
 def _dealt(edges: DataFrame, n: int) -> DataFrame:

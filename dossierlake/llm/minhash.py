@@ -118,6 +118,7 @@ def _neighbours(classes: DataFrame, halves: int) -> tuple[DataFrame, DataFrame]:
             bucket, first, last = keys[-1], center[-1] if old[-1] else nodes[-1], nodes[-1]
         if n > 3:
             yield rows([bucket], np.array([members]).view(np.int64), [n])
+        W.release()
 
     keyed = _table_keys(classes, halves).repartition("bucket").sortWithinPartitions("bucket", "node")
     found = stored(keyed.mapInArrow(tie, "a long, b long, n long"), "buckets")
@@ -163,6 +164,7 @@ def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tabl
             key = now
     if held:
         yield pa.Table.from_batches(held)
+    W.release()
 
 
 def _missed(classes: DataFrame, groups: DataFrame, wide: DataFrame, halves: int, percent: int) -> DataFrame:
