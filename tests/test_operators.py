@@ -281,6 +281,20 @@ def test_each_question_is_rewritten_once(spark, tmp_path):
     assert len(open(calls).read().split()) == 5
 
 
+def test_the_model_reads_system_text_and_history(spark):
+    from dossierlake.plans import answering as an
+    words = " ".join(f"mot{i}" for i in range(40))
+    chunks = spark.createDataFrame([("k", 1, 0, f"sujet {words}", 41)], "corpus_key string, doc_id long, chunk_index int, text string, word_count int")
+    files = spark.createDataFrame([(1, "1.pdf")], "doc_id long, file_name string")
+    asked = spark.createDataFrame([(i, i, "k", "sujet ?") for i in (1, 2)], "query_id long, conv_id long, corpus_key string, text string")
+    turns = spark.createDataFrame([(1, 9, 1, "assistant", "deux"), (1, 9, 0, "user", "un"), (3, 1, 0, "user", "ailleurs")], "conv_id long, ts long, part int, role string, text string")
+    echo = lambda prompts, *_: list(prompts)
+    answers, _ = an.answer(asked, turns, chunks, files, model=echo, system="règles")
+    said = {r.query_id: r.content for r in answers.collect()}
+    assert said[1].startswith("[system]\nrègles\n\n[user]\nun\n\n[assistant]\ndeux\n\n[user]\nContexte extrait") and said[1].endswith("Question : sujet ?")
+    assert said[2].startswith("[system]\nrègles\n\n[user]\nContexte extrait")
+
+
 def test_where_treats_missing_keys(spark):
     rows = spark.createDataFrame([(1, "a", None), (2, "a", 3), (3, None, 3)], "id int, k string, p long")
     ids = lambda cond: sorted(r.id for r in rows.filter(rg.where(cond)).collect())

@@ -418,13 +418,17 @@ def sum_map_reduce(spark, sf):
     return longs(out.select("doc_id", "n_parts", "summary"), "n_parts")
 
 
+_SYSTEM = "Réponds à partir des extraits seulement."
+
+
 @query("ask_pipeline", q.with_([*_POST, *fx.QUESTIONS, _STANDALONE, *q.query_ctes("SELECT query_id, corpus_key, text FROM standing", scoped=True), *q.hybrid_ctes(5, scoped=True), _NAMED, _CONTEXT], f"""
-SELECT query_id, s.text AS standalone, md5('Contexte extrait du document :' || chr(10) || chr(10) || coalesce(context, {q.lit(se.NOTHING_FOUND)}) || chr(10) || chr(10) || 'Question : ' || question) AS content
-FROM standing s LEFT JOIN ctx USING (query_id)"""))
+SELECT query_id, s.text AS standalone, md5({q.lit(f"[system]{chr(10)}{_SYSTEM}{chr(10)}{chr(10)}")} || coalesce(said || chr(10) || chr(10), '') || '[user]' || chr(10) || 'Contexte extrait du document :' || chr(10) || chr(10) || coalesce(context, {q.lit(se.NOTHING_FOUND)}) || chr(10) || chr(10) || 'Question : ' || question) AS content
+FROM standing s LEFT JOIN ctx USING (query_id)
+LEFT JOIN (SELECT conv_id, string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY ts, part, text) AS said FROM recent GROUP BY 1) USING (conv_id)"""))
 def ask_pipeline(spark, sf):
     """The last question of every conversation, answered from the documents of its source."""
     asked, earlier = fx.questions(spark, sf)
-    replies, _ = an.answer(asked, earlier, fx.chunks(spark, sf), fx.doc_meta(spark, sf))
+    replies, _ = an.answer(asked, earlier, fx.chunks(spark, sf), fx.doc_meta(spark, sf), system=_SYSTEM)
     return replies.select("query_id", "standalone", "content")
 
 
