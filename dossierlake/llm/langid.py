@@ -149,7 +149,9 @@ class Tables:
 def train(docs: DataFrame, learn: Column, most_labelled: int = MOST_LABELLED) -> Network:
     """A network from docs(doc_id, text, lang), from rows with a text, a language and `learn` (over doc_id).
 
-    Languages are the distinct values of the sample; a corpus without labelled texts gives a network without languages.
+    The sample is `most_labelled` distinct ids, those with the smallest hashes, and at most `WINDOWS_EACH` windows of each text, so a
+    language that fewer than one in `most_labelled` labelled texts has may not be learned. Languages are the distinct
+    values of the sample; a corpus without labelled texts gives a network without languages.
     """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +163,18 @@ def train(docs: DataFrame, learn: Column, most_labelled: int = MOST_LABELLED) ->
             # Windows of a text in equal steps over its whole length.
             count = np.bincount(text, minlength=batch.num_rows)
             number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-            keep = np.flatnonzero((number % np.maximum(1, count // WINDOWS_EACH)[text] == 0) & ((rows > 0).sum(axis=1) >= WINDOW // 3))
+            step = np.maximum(1, count // WINDOWS_EACH)[text]
+            letters = (rows > 0).sum(axis=1)
+            # A text of one window teaches what it has; longer ones teach their fuller windows.
+            enough = np.where(count[text] == 1, letters > 0, letters >= WINDOW // 3)
+            keep = np.flatnonzero((number % step == 0) & (number // step < WINDOWS_EACH) & enough)
             yield pa.record_batch([batch.column("lang").take(pa.array(text[keep])), pa.array(list(map(bytes, rows[keep].astype(np.uint8))), pa.binary())], ["lang", "window"])
 
-    sample = (docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(learn)
-              .select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most_labelled))
-    ids = [(r[0],) for r in sample.collect()]
-    spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(ids, docs.select("doc_id").schema).distinct())
-    labelled = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang").join(chosen, "doc_id")
+    usable = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    sample = usable.filter(learn).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in sample.collect()], sample.schema))
+    # Rows that repeat an id teach once, by the first language and text in the alphabet.
+    labelled = usable.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*")
     # A few windows of each sampled text: bounded by the sample.
     rows = sorted(tuple(r) for r in labelled.select("lang", "text").mapInArrow(windows, "lang string, window binary").collect())
     names = sorted({r[0] for r in rows})

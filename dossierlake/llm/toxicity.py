@@ -163,7 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most_labelled: int
     # The limit bounds what is broadcast and what is collected: two numbers a row.
     rows = [tuple(r) for r in sample.collect()]
     known = F.broadcast(spark.createDataFrame(rows, sample.schema))
-    texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(known, "doc_id").select("toxic", "text")
+    # Rows that repeat an id teach once, by the first text in the alphabet.
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(known, "doc_id").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
     toxic = sum(r[1] for r in rows)
     if not 0 < toxic < len(rows):
         share = toxic / len(rows) if rows else 0.0

@@ -420,3 +420,17 @@ def test_reserved_rights_are_no_licence_beside_another():
     assert "Proprietary" not in found(MIT) and set(found(MIT)) == {"MIT"}
     assert found("Copyright 2020 X.\nAll rights reserved.\nSome text.") == ["Proprietary"]
     assert found("All rights reserved.\nSPDX-License-Identifier: ISC\n") == ["ISC"]
+
+
+def test_short_texts_and_repeated_ids_are_learned_from_once(spark):
+    rows = [(i, "short text" if i % 2 else "kurzer satz", "en" if i % 2 else "de") for i in range(60)]
+    rows += [(i, f"une phrase un peu plus longue pour apprendre la langue {i}", "fr") for i in range(100, 160)] + [(7, f"row {k}", "zz") for k in range(500)]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), F.lit(True))
+    assert net.names == ["de", "en", "fr"]
+    said = spark.createDataFrame([(1, "short text"), (2, "kurzer satz"), (3, "une phrase plus longue")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(said, net).orderBy("row.doc_id").collect()] == ["en", "de", "fr"]
+    docs = spark.createDataFrame([(i, "awful thing" if i % 2 else "good thing") for i in range(400)] + [(1, f"text {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(docs.repartition(4), labels, F.lit(True))
+    scores = {r.row.text: r.score for r in toxicity.score(docs.filter("doc_id > 1"), model).collect()}
+    assert scores["awful thing"] > 0.5 > scores["good thing"]
