@@ -108,7 +108,7 @@ def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("op13_importance_resampling")
+@query("op13_importance_resampling", sql.IMPORTANCE)
 def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("row.doc_id", "n_features", "weight", "score", "rank")

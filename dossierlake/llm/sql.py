@@ -130,3 +130,32 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
   (sum(coalesce(removed, 0)) OVER (PARTITION BY part, x))::BIGINT AS shapley
 FROM s
 """
+
+# CRC-32 byte by byte, from a table that is derived from its polynomial; every feature as a string.
+IMPORTANCE = r"""
+WITH tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))) AS t),
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws,
+    false AS aim FROM documents
+  UNION ALL
+  SELECT NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), true FROM benchmark),
+f AS (
+  SELECT doc_id, aim, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+    list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS x FROM w),
+n AS (SELECT doc_id, aim, x, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT x FROM n)),
+c AS (
+  SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 10000 AS bucket FROM h, tab),
+b AS (SELECT bucket, sum(n) FILTER (NOT aim) AS s, sum(n) FILTER (aim) AS t FROM n JOIN c USING (x) GROUP BY 1),
+a AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM b),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(b.t, 0) + 1)::DOUBLE * (a.s + 10000)::DOUBLE / ((coalesce(b.s, 0) + 1)::DOUBLE * (a.t + 10000)::DOUBLE)))::BIGINT AS gain FROM b, a),
+v AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM n JOIN c USING (x) JOIN g USING (bucket) WHERE NOT aim GROUP BY 1),
+d AS (
+  SELECT doc_id, len(ws) AS words, (len(ws) + greatest(len(ws) - 1, 0) + greatest(len(ws) - 2, 0))::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM w LEFT JOIN v USING (doc_id) WHERE NOT aim),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (words >= 20) OVER () AS able FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= 5 * able // 100 THEN k END AS rank FROM r
+"""
