@@ -102,9 +102,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         n = edges.count()
         dealt = _dealt(edges, n).repartition("key", "salt").sortWithinPartitions("key", "b").select("key", "a", "b")
-        edges = stored(dealt.mapInArrow(_contract, shape), "edges")
+        edges = stored(dealt.mapInArrow(_contract, shape), "edges", n)
         if not n or edges.filter("moved").isEmpty():
             break
     found = edges.select("a", "b").distinct()
     return stored(found.select(F.col("a").alias("node"), F.col("b").alias("root"))
-                  .union(edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))), "roots")
+                  .union(edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))), "roots", n)

@@ -76,7 +76,7 @@ def _table_keys(classes: DataFrame, halves: int, *more: str) -> DataFrame:
         p, F.get("left_keys", (p / h).cast("int")), F.get("right_keys", p % h)))).alias("bucket"))
 
 
-def _neighbours(classes: DataFrame, halves: int) -> tuple[DataFrame, DataFrame]:
+def _neighbours(classes: DataFrame, halves: int, n_rows: int) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs(a, b) that tie every member of a bucket to the bucket's first member and to the one before it, and
     the buckets(bucket, n, members) of more than three members, of those with the same members one.
 
@@ -121,7 +121,7 @@ def _neighbours(classes: DataFrame, halves: int) -> tuple[DataFrame, DataFrame]:
         W.release()
 
     keyed = _table_keys(classes, halves).repartition("bucket").sortWithinPartitions("bucket", "node")
-    found = stored(keyed.mapInArrow(tie, "a long, b long, n long"), "buckets")
+    found = stored(keyed.mapInArrow(tie, "a long, b long, n long"), "buckets", n_rows)
     wide = found.filter("n > 0").groupBy("n", F.col("b").alias("members")).agg(F.min("a").alias("bucket"))
     return found.filter("n = 0").select("a", "b").distinct(), wide
 
@@ -167,7 +167,7 @@ def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tabl
     W.release()
 
 
-def _missed(classes: DataFrame, groups: DataFrame, wide: DataFrame, halves: int, percent: int) -> DataFrame:
+def _missed(classes: DataFrame, groups: DataFrame, wide: DataFrame, halves: int, percent: int, n_rows: int) -> DataFrame:
     """pairs(a, b) of candidate clusters that a bucket joins by a promising pair which `_neighbours` did not tie.
 
     groups(node, root) are the clusters so far, wide(bucket, ...) the larger buckets. Up to three members of a bucket are all tied. In larger buckets of several
@@ -176,7 +176,7 @@ def _missed(classes: DataFrame, groups: DataFrame, wide: DataFrame, halves: int,
     """
     # The list of buckets is broadcast if it is counted to be small; then the keys of other buckets end where they are made.
     held = _table_keys(classes, halves).join(broadcast_if_small(wide.select("bucket")), "bucket")
-    rooted = stored(held.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "members")
+    rooted = stored(held.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "members", n_rows)
     parted = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
     members = rooted.join(broadcast_if_small(parted), "bucket")
     main = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
@@ -269,7 +269,7 @@ def _linked(cells: DataFrame, shingle_words: int, percent: int) -> DataFrame:
             .mapInArrow(compare, "a long, b long, blocks int"))
 
 
-def _roots(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+def _roots(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int, percent: int, n_rows: int) -> DataFrame:
     """(node, root) of the classes that are linked to others, from candidate groups(node, root).
 
     What candidates tie together, directly or over others, is a cluster. Clusters are compared in cells of two blocks of
@@ -278,9 +278,9 @@ def _roots(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words
     """
     groups = groups.select("node", F.col("root").alias("cluster")).join(classes.select("node", "rep", "n_shingles"), "node")
     sizes = groups.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = stored(groups.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int")), "clusters")
+    dealt = stored(groups.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int")), "clusters", n_rows)
     # Asked for as a merge join, so the plan is the same whatever the share of clustered documents.
-    texts = stored(docs.select(F.col("doc_id").alias("rep"), "text").join(dealt.select("node", "rep").hint("merge"), "rep").select("node", "text"), "texts")
+    texts = stored(docs.select(F.col("doc_id").alias("rep"), "text").join(dealt.select("node", "rep").hint("merge"), "rep").select("node", "text"), "texts", n_rows)
 
     def cells(placed: DataFrame, others: Column) -> DataFrame:
         return (placed.withColumn("other", F.explode(others)).select(
@@ -288,7 +288,7 @@ def _roots(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words
 
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     first = F.when(F.col("own") == 0, every).otherwise(F.array(F.lit(0), "own"))
-    links = stored(_linked(cells(dealt, first), shingle_words, percent), "links")
+    links = stored(_linked(cells(dealt, first), shingle_words, percent), "links", n_rows)
     # The links of a cell are stars, so in a cluster of one block they name its components already.
     small = links.filter("blocks = 1")
     roots = small.select(F.col("b").alias("node"), F.col("a").alias("root")).union(small.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
@@ -321,16 +321,17 @@ def near_duplicate_classes(docs: DataFrame, shingle_words: int = 5, percent: int
     Repeated rows come out as often as they came in. Other columns are ignored.
     """
     made = stored(sketches(docs, shingle_words, halves), "sketches")
+    n = made.count()
     usable = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(usable.groupBy(F.col("set_key").alias("node")).agg(
-        F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "left_keys", "right_keys", "mins"))), "classes")
-    ties, wide = _neighbours(classes, halves)
-    candidates = stored(_promising(ties, classes, halves, percent), "candidates")
+        F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "left_keys", "right_keys", "mins"))), "classes", n)
+    ties, wide = _neighbours(classes, halves, n)
+    candidates = stored(_promising(ties, classes, halves, percent), "candidates", n)
     groups = components(candidates)
-    missed = stored(_missed(classes, groups, stored(wide, "wide"), halves, percent), "missed")
+    missed = stored(_missed(classes, groups, stored(wide, "wide", n), halves, percent, n), "missed", n)
     if not missed.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed))
-    roots = _roots(groups, classes, docs, shingle_words, percent)
+    roots = _roots(groups, classes, docs, shingle_words, percent, n)
     named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = named.join(smallest, "root").select(F.col("node").alias("set_key"), "component_id")
