@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dossierlake.functions import vectors as vx
-from dossierlake.operators import chunking as ck, keyword_index as ki, search as se, vector_index as vi
+from dossierlake.operators import chunking as ck, embedding_store as es, keyword_index as ki, search as se, vector_index as vi
 from dossierlake.session import broadcast_if_small
 
 _ADD, _ERASE = "add", "erase"
@@ -58,6 +58,12 @@ class Corpus:
     def registry(self) -> DataFrame:
         return self.live("registry").drop("step")
 
+    def embeddings(self) -> DataFrame | None:
+        """(text_key, text, embedding) of every text that was embedded, once each; erased documents' texts are among them until the
+        corpus is written anew, but no reader of the corpus gets them."""
+        rows = self._union("embeddings", _ADD)
+        return None if rows is None else rows.drop("step")
+
     def sizes(self) -> DataFrame:
         """(corpus_key, n_chunks, avgdl), from the sums of the steps."""
         total = self._union("sizes", _ADD, _ERASE).groupBy("corpus_key").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_words").alias("n_words"))
@@ -130,7 +136,11 @@ def add(spark: SparkSession, folder: str, docs: DataFrame, tag: str, model=vx.ha
     plain.groupBy("corpus_key", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(at("df"))
     _word_counts(chunks).write.mode("overwrite").parquet(at("sizes"))
     ki.write(plain, se.corpus_sizes(chunks), at("keywords"), se.K1, se.B)
-    vi.write(se.chunk_vectors(chunks, model).select("corpus_key", *se.CHUNK_ID, "embedding"), at("vectors"), centers=corpus.centroids())
+    # Only texts that no step has embedded reach the model.
+    es.embed_unseen(chunks, corpus.embeddings(), model).write.mode("overwrite").parquet(at("embeddings"))
+    fresh = spark.read.schema(es.STORED).parquet(at("embeddings"))
+    known = fresh if corpus.embeddings() is None else corpus.embeddings().unionByName(fresh)
+    vi.write(es.with_vectors(chunks, known).select("corpus_key", *se.CHUNK_ID, "embedding"), at("vectors"), centers=corpus.centroids())
     _commit(spark, folder, step)
 
 

@@ -95,3 +95,27 @@ def test_a_document_sent_again_and_a_replayed_batch_count_once(spark, tmp_path,
     index = corpus.index()
     assert ids(corpus.registry()) == ids(corpus.chunks()) == ids(index.vectors.vectors) == [1, 2, 3]
     assert ids(index.postings.postings.select("doc_id").distinct()) == [1, 2, 3]
+
+
+def test_a_text_is_embedded_once(spark, tmp_path):
+    from dossierlake.functions import vectors as vx
+    calls = str(tmp_path / "calls")
+
+    def counted(texts):
+        with open(calls, "a") as f:
+            f.writelines("x\n" for _ in texts)
+        return vx.hashed_vectors(texts)
+
+    made = lambda: len(open(calls).read().split())
+    folder = str(tmp_path / "corpus")
+    rows = documents(range(6))
+    copies = [(100 + r[0], "k9", r[2], "fr") for r in rows]
+    cp.add(spark, folder, spark.createDataFrame(rows + copies, DOCS), "one", counted)
+    assert made() == 6
+    cp.erase(spark, folder, spark.createDataFrame([(r[0],) for r in rows], "doc_id long"), "gone")
+    cp.add(spark, folder, spark.createDataFrame(rows, DOCS), "two", counted)
+    assert made() == 6
+    vectors = cp.opened(spark, folder).index().vectors.vectors
+    assert sorted(r.doc_id for r in vectors.collect()) == sorted(r[0] for r in rows + copies)
+    again = {r.doc_id: r.embedding for r in vectors.collect()}
+    assert all(again[r[0]] == again[100 + r[0]] for r in rows)
