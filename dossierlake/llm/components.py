@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dossierlake.llm.store import stored
-from dossierlake.llm.words import release
 
 # Edges that a task merges at a time.
 CHUNK = 1 << 20
+# Edges of a task that contracts what it is given: the more there are, the fewer stars are left of the same nodes.
+CONTRACTED = 1 << 17
 # Larger neighbours of a node beyond which they are dealt to several tasks, so many to each.
 HOT = 1 << 16
 
@@ -67,7 +68,6 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, n = [], 0
     if held:
         yield flush()
-    release()
 
 
 def _dealt(edges: DataFrame, n: int) -> DataFrame:
@@ -90,7 +90,7 @@ def _dealt(edges: DataFrame, n: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links(a, b): root is the smallest node that can be reached.
+    """(node, root) for every node of links(a, b), a stored table: root is the smallest node that can be reached.
 
     Every task first turns the edges it has into stars. Then each round brings the edges of a node together and turns
     them into stars again, with one exchange, until no task changes its edges; the edges are then stars
@@ -98,7 +98,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     shape = "a long, b long, moved boolean"
     edges = links.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    edges = stored(edges.select(F.col("a").alias("key"), "a", "b").mapInArrow(_contract, shape), "edges")
+    tasks = max(1, -(-edges.count() // CONTRACTED))
+    edges = stored(edges.select(F.col("a").alias("key"), "a", "b").coalesce(tasks).mapInArrow(_contract, shape), "edges")
     while True:
         n = edges.count()
         dealt = _dealt(edges, n).repartition("key", "salt").sortWithinPartitions("key", "b").select("key", "a", "b")

@@ -118,7 +118,6 @@ def _neighbours(classes: DataFrame, halves: int, n_rows: int) -> tuple[DataFrame
             bucket, first, last = keys[-1], center[-1] if old[-1] else nodes[-1], nodes[-1]
         if n > 3:
             yield rows([bucket], np.array([members]).view(np.int64), [n])
-        W.release()
 
     keyed = _table_keys(classes, halves).repartition("bucket").sortWithinPartitions("bucket", "node")
     found = stored(keyed.mapInArrow(tie, "a long, b long, n long"), "buckets", n_rows)
@@ -164,7 +163,6 @@ def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tabl
             key = now
     if held:
         yield pa.Table.from_batches(held)
-    W.release()
 
 
 def _missed(classes: DataFrame, groups: DataFrame, wide: DataFrame, halves: int, percent: int, n_rows: int) -> DataFrame:
@@ -307,7 +305,7 @@ def _roots(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words
         F.xxhash64("node", F.lit(5)), "outer").cast("int")).otherwise(F.col("own")))
     outer = F.sequence(F.col("blocks"), F.col("blocks") + F.col("outer") - 1)
     more = F.when(F.col("outside"), F.concat(every, outer)).otherwise(outer)
-    rest = _linked(cells(numbered, more), shingle_words, percent).select("a", "b")
+    rest = stored(_linked(cells(numbered, more), shingle_words, percent).select("a", "b"), "rest", n_rows)
     return roots.union(components(inner.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest)))
 
 

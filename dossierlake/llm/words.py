@@ -7,7 +7,6 @@ value with a probability of about 2**-64, which is taken as equality throughout
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,12 +129,3 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: in
             end = max(at + 1, int(np.searchsorted(size, past + most_bytes, side="right")))
             yield batch.slice(at, end - at)
             at = end
-    release()
-
-
-def release() -> None:
-    """Gives memory that a finished partition has freed back to the system: Python workers live on and wait for the next task."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
