@@ -16,6 +16,15 @@ def document_stream(spark: SparkSession, folder: str, schema: StructType, files:
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 100) -> DataFrame:
+    """A stored table as a stream, whether it is one file or a folder of files.
+
+    A stream takes a file only as a match of a pattern; a folder that matches is read with what is in it.
+    """
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def start_ingest(docs: DataFrame, folder: str, checkpoint: str, model=vx.hashed_vectors, time: str | None = None, late: str = "7 days") -> StreamingQuery:
     """Adds streamed docs(doc_id, text, source, ...) to the corpus in `folder`: each micro-batch is one step of all its tables.
 

@@ -119,3 +119,20 @@ def test_a_text_is_embedded_once(spark, tmp_path):
     assert sorted(r.doc_id for r in vectors.collect()) == sorted(r[0] for r in rows + copies)
     again = {r.doc_id: r.embedding for r in vectors.collect()}
     assert all(again[r[0]] == again[100 + r[0]] for r in rows)
+
+
+@pytest.mark.parametrize("as_folder", [True, False])
+def test_a_stored_table_streams_whether_it_is_a_file_or_a_folder(spark, tmp_path, as_folder):
+    for name in ("documents", "others"):
+        folder = str(tmp_path / "made" / name)
+        spark.createDataFrame([(i,) for i in range(6)], "doc_id long").repartition(2 if as_folder else 1).write.parquet(folder)
+        (tmp_path / "sf").mkdir(exist_ok=True)
+        parts = sorted((tmp_path / "made" / name).glob("part-*.parquet"))
+        target = tmp_path / "sf" / f"{name}.parquet"
+        if as_folder:
+            target.mkdir()
+        for n, part in enumerate(parts):
+            (target / f"part-{n}.parquet" if as_folder else target).write_bytes(part.read_bytes())
+    stream = si.table_stream(spark, str(tmp_path / "sf" / "documents.parquet"), spark.createDataFrame([], "doc_id long").schema)
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(6))
