@@ -434,3 +434,15 @@ def test_short_texts_and_repeated_ids_are_learned_from_once(spark):
     model = toxicity.train(docs.repartition(4), labels, F.lit(True))
     scores = {r.row.text: r.score for r in toxicity.score(docs.filter("doc_id > 1"), model).collect()}
     assert scores["awful thing"] > 0.5 > scores["good thing"]
+
+
+def test_tables_that_a_process_makes_for_itself_are_not_sent_along():
+    """The package is pickled by value: tables of powers that the driver had made went into every command, 33 MB each."""
+    from pyspark import cloudpickle
+
+    column = pa.array(["three short words", None, "x" * 50])
+    here = words.words(column, words.SPACED)
+    sent = cloudpickle.dumps(words.words)
+    assert words._powers and len(sent) < 100_000
+    there = cloudpickle.loads(sent)(column, words.SPACED)
+    assert all((a == b).all() for a, b in zip(here, there))
