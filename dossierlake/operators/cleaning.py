@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake.functions import text as tx, vocabulary as vo
-from dossierlake.functions.arrays import rows_of
+from dossierlake.functions.arrays import let, rows_of
 from dossierlake.operators.sections import PAGE_MARKER
 
 # Fixed values.
@@ -25,25 +25,29 @@ _PAGES = r"(?=" + PAGE_MARKER.replace("(?i)", "") + ")"
 
 def _around_contents(col: Column) -> Column:
     """[text before, text after] the first contents heading; one item if there is none."""
-    marked = F.split(col, _CONTENTS, 2)
-    return F.when(F.size(marked) == 2, marked).otherwise(F.split(col, _CONTENTS_PLAIN, 2))
+    return let(F.split(col, _CONTENTS, 2), lambda marked: F.when(F.size(marked) == 2, marked).otherwise(F.split(col, _CONTENTS_PLAIN, 2)))
 
 
 def cover(col: Column, limit: int = COVER_WORDS) -> Column:
     """Text before the contents heading, or all of it, capped in words."""
-    front = tx.strip(_around_contents(col)[0])
-    return F.when(tx.word_count(front) > limit, tx.first_words(front, limit)).otherwise(front)
+    return let(tx.strip(_around_contents(col)[0]), lambda front: F.when(tx.word_count(front) > limit, tx.first_words(front, limit)).otherwise(front))
 
 
 def contents_entries(col: Column) -> Column:
     """array<struct<number, title>> of numbered entries after the contents heading, first title per number."""
-    after = F.try_element_at(_around_contents(col), F.lit(2))
-    until = F.split(after, rf"(?dm)^#{{1,4}}{tx.WS}", 2)
-    block = F.when(F.size(until) == 2, until[0]).otherwise(F.substring(after, 1, CONTENTS_CHARS))
-    nums, titles = F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(1)), F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(2))
-    pairs = F.zip_with(nums, titles, lambda n, t: F.struct(n.alias("number"), tx.strip(t).alias("title")))
-    first = F.array_distinct(nums)
-    return F.transform(first, lambda n: F.element_at(F.filter(pairs, lambda p: p["number"] == n), 1))
+    def block(after: Column) -> Column:
+        return let(F.split(after, rf"(?dm)^#{{1,4}}{tx.WS}", 2),
+                   lambda until: F.when(F.size(until) == 2, until[0]).otherwise(F.substring(after, 1, CONTENTS_CHARS)))
+
+    def pairs(block: Column) -> Column:
+        nums, titles = F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(1)), F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(2))
+        return F.zip_with(nums, titles, lambda n, t: F.struct(n.alias("number"), tx.strip(t).alias("title")))
+
+    def first(pairs: Column) -> Column:
+        distinct = F.array_distinct(F.transform(pairs, lambda p: p["number"]))
+        return F.transform(distinct, lambda n: F.element_at(F.filter(pairs, lambda p: p["number"] == n), 1))
+
+    return let(let(let(F.try_element_at(_around_contents(col), F.lit(2)), block), pairs), first)
 
 
 def contents_map(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -67,19 +71,20 @@ def numbered_pieces(col: Column) -> Column:
 
 def section_by_number(pieces: Column, number: Column) -> Column:
     """From heading `number` to the next heading with a greater number; sub-numbers stay inside."""
+    def section(own: Column) -> Column:
+        beyond = F.transform(F.slice(pieces, own + 1, F.size(pieces)), lambda p: F.coalesce(
+            tx.greater_number(p["number"], number) & ~F.startswith(p["number"], number), F.lit(False)))
+        took = let(F.array_position(beyond, True).cast("int"), lambda n: F.slice(pieces, own, F.when(n > 0, n).otherwise(F.size(pieces))))
+        return tx.strip(F.array_join(F.transform(took, lambda p: p["piece"]), ""))
+
     own = F.array_position(F.transform(pieces, lambda p: F.coalesce(p["number"], F.lit(""))), number).cast("int")
-    after = F.slice(pieces, own + 1, F.size(pieces))
-    beyond = F.transform(after, lambda p: F.coalesce(
-        tx.greater_number(p["number"], number) & ~F.startswith(p["number"], number), F.lit(False)))
-    n = F.array_position(beyond, True).cast("int")
-    took = F.slice(pieces, own, F.when(n > 0, n).otherwise(F.size(pieces)))
-    return F.when(own > 0, tx.strip(F.array_join(F.transform(took, lambda p: p["piece"]), "")))
+    return let(own, lambda own: F.when(own > 0, section(own)))
 
 
 def fallback_section(pieces: Column) -> Column:
     """The first of sections 5, 4, 3, 2 that names a material id; null if none."""
     tries = [section_by_number(pieces, F.lit(n)) for n in vo.FALLBACK_NUMBERS]
-    return F.coalesce(*[F.when(F.regexp_like(t, F.lit(_MATERIAL_ID)), t) for t in tries])
+    return F.coalesce(*[let(t, lambda t: F.when(F.regexp_like(t, F.lit(_MATERIAL_ID)), t)) for t in tries])
 
 
 def page_range(col: Column, start: Column, end: Column) -> Column:
@@ -88,18 +93,21 @@ def page_range(col: Column, start: Column, end: Column) -> Column:
     The last of repeated page numbers counts. A start inside a gap moves to the next page;
     without a page after the end the rest of the text is taken. Empty when disjoint.
     """
-    pieces = F.split(col, "(?i)" + _PAGES)
-    nums = F.transform(pieces, lambda p: F.regexp_extract(p, rf"(?i)^<!--{tx.WS}*page{tx.WS}+(\p{{Nd}}+)", 1).try_cast("int"))
-    known = F.filter(nums, lambda n: n.isNotNull())
-    first = F.array_min(F.filter(known, lambda n: n >= start))
-    last = F.least(end, F.array_max(known))
-    size = F.size(pieces)
-    backwards = F.reverse(nums)
-    at = size - F.array_position(backwards, first).cast("int") + 1
-    following = F.array_position(backwards, last + 1).cast("int")
-    stop = F.when(following > 0, size - following + 1).otherwise(size + 1)
-    inside = F.array_join(F.slice(pieces, at, F.greatest(stop - at, F.lit(0))), "")
-    return F.when(first <= last, tx.strip(inside)).otherwise("")
+    def inside(pieces: Column, nums: Column, first: Column, last: Column) -> Column:
+        size, backwards = F.size(pieces), F.reverse(nums)
+        at = size - F.array_position(backwards, first).cast("int") + 1
+        following = F.array_position(backwards, last + 1).cast("int")
+        stop = F.when(following > 0, size - following + 1).otherwise(size + 1)
+        return tx.strip(F.array_join(let(at, lambda at: F.slice(pieces, at, F.greatest(stop - at, F.lit(0)))), ""))
+
+    def ranged(pieces: Column, nums: Column, known: Column) -> Column:
+        ends = F.struct(F.array_min(F.filter(known, lambda n: n >= start)).alias("first"), F.least(end, F.array_max(known)).alias("last"))
+        return let(ends, lambda e: F.when(e["first"] <= e["last"], inside(pieces, nums, e["first"], e["last"])).otherwise(""))
+
+    number = rf"(?i)^<!--{tx.WS}*page{tx.WS}+(\p{{Nd}}+)"
+    return let(F.split(col, "(?i)" + _PAGES), lambda pieces: let(
+        F.transform(pieces, lambda p: F.regexp_extract(p, number, 1).try_cast("int")), lambda nums: let(
+            F.filter(nums, lambda n: n.isNotNull()), lambda known: ranged(pieces, nums, known))))
 
 
 def page_rows(pages: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -115,9 +123,9 @@ def reduce_documents(docs: DataFrame, text: str = "text", start: str | None = No
     parsed = given.select("*", cover(F.col("_t")).alias("cover"), numbered_pieces(F.col("_t")).alias("_p"),
                           section_number(contents_entries(F.col("_t"))).alias("_n"))
     ranged = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), page_range(F.col("_t"), F.col("_a"), F.col("_b")))
-    found = F.coalesce(F.nullif(ranged, F.lit("")), F.nullif(section_by_number(F.col("_p"), F.col("_n")), F.lit("")),
-                       F.nullif(fallback_section(F.col("_p")), F.lit("")), F.lit(""))
+    filled = lambda c: let(c, lambda v: F.when(v != "", v))
+    found = F.coalesce(filled(ranged), filled(section_by_number(F.col("_p"), F.col("_n"))), filled(fallback_section(F.col("_p"))), F.lit(""))
     parts = parsed.select("doc_id", "_t", "cover", found.alias("materials"))
     joined = F.array_join(F.filter(F.array("cover", "materials"), lambda x: x != ""), SECTION_BREAK)
     return parts.select("doc_id", "cover", "materials",
-                        F.when(joined == "", F.col("_t")).otherwise(joined).alias("cleaned"))
+                        let(joined, lambda j: F.when(j == "", F.col("_t")).otherwise(j)).alias("cleaned"))

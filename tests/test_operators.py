@@ -391,3 +391,15 @@ def test_sessions_of_a_stream_equal_those_of_a_table(spark, tmp_path):
     whole = key(cv.sessions(cv.timed(table), 100))
     assert whole == [("a", 0, 99, 2), ("a", 199, 199, 1), ("b", 5, 150, 3), ("b", 300, 300, 1), ("z", 10_000, 10_001, 2), ("z", 20_000, 20_000, 1)]
     assert key(spark.read.parquet(str(tmp_path / "out"))) == whole[:-1]  # the last one is still open
+
+
+def test_reports_are_cut_once_by_each_rule(spark):
+    """Each use of a value in the row repeated its work: the contents rule stood in the plan dozens of times."""
+    from dossierlake.operators import cleaning
+
+    text = "avant\n## Sommaire\n3. Résultats du Repérage\n# 3. un\nM123\n# 4. deux\n"
+    out = cleaning.reduce_documents(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"))
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[1].cover == "avant" and rows[1].materials == "# 3. un\nM123" and rows[2].materials == ""
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Sommaire") <= 4
