@@ -403,3 +403,29 @@ def test_reports_are_cut_once_by_each_rule(spark):
     assert rows[1].cover == "avant" and rows[1].materials == "# 3. un\nM123" and rows[2].materials == ""
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Sommaire") <= 4
+
+
+def test_search_in_given_chunks_embeds_each_text_once(spark):
+    """Both legs were read twice, for their extremes and for their rows, so every text reached the model twice."""
+    from dossierlake.functions import vectors
+    from dossierlake.operators import search
+    from dossierlake.plans import hybrid
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        seen.add(len(texts))
+        return vectors.hashed_vectors(texts)
+
+    text = " ".join(f"w{i % 20}" for i in range(40))
+    chunks = spark.createDataFrame([(d, d, i, f"{text} d{d} c{i}", 42) for d in (1, 2) for i in (0, 1, 2)],
+                                   "corpus_key long, doc_id long, chunk_index int, text string, word_count int")
+    queries = spark.createDataFrame([(7, 1, "w1 c2 c2 nowhere"), (8, 2, "c0 d1"), (9, 3, "w1")], "query_id long, corpus_key long, text string")
+    hits = hybrid.search_given_chunks(chunks, queries, 1, model).collect()
+    assert [(h.query_id, h.doc_id, h.chunk_index) for h in sorted(hits)] == [(7, 1, 2), (8, 2, 0)]
+    assert seen.value <= chunks.count() + queries.count()
+    # The words of a corpus's own queries only, as `postings` counts them.
+    terms = search.query_terms(queries).join(queries.select("corpus_key").distinct(), "corpus_key")
+    every = search.postings(chunks.union(chunks.limit(1))).join(terms.select("corpus_key", "term").distinct(), ["corpus_key", "term"], "left_semi")
+    own = search.own_postings(chunks.union(chunks.limit(1)), terms).select(*every.columns)
+    assert sorted(own.collect()) == sorted(every.collect()) and own.count() == 5
