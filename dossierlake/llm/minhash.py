@@ -76,16 +76,19 @@ def _table_keys(classes: DataFrame, halves: int, *more: str) -> DataFrame:
         p, F.get("left_keys", (p / h).cast("int")), F.get("right_keys", p % h)))).alias("bucket"))
 
 
-def _neighbours(classes: DataFrame, halves: int, n_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs(a, b) that tie every member of a bucket to the bucket's first member and to the one before it, and
-    the buckets(bucket, n, members) of more than three members, of those with the same members one.
+def _neighbours(classes: DataFrame, halves: int, n_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct pairs(a, b) that tie every member of a bucket to the bucket's first member and to the one before it,
+    the buckets(bucket, n, members) of more than three members, of those with the same members one, and the rows(bucket, node) of
+    all buckets of more than three.
 
-    Buckets are read in sorted order and never held, so a bucket of any size takes one pass and gives two pairs a member.
+    Buckets are read in sorted order and never held, so a bucket of any size takes one pass and gives two pairs and one row a member.
     """
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = first = last = None
         n, members = 0, np.uint64(0)
+        # Members of a bucket that goes on and has no more than three so far.
+        waiting = np.zeros(0, np.int64)
 
         def rows(a, b, size) -> pa.RecordBatch:
             return pa.record_batch([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(size, np.int64))], ["a", "b", "n"])
@@ -114,6 +117,15 @@ def _neighbours(classes: DataFrame, halves: int, n_rows: int) -> tuple[DataFrame
                 mark[0] ^= members
             wide = np.flatnonzero(size[:-1] > 3)
             yield rows(names[wide], mark[wide].view(np.int64), size[wide])
+            # Members of the buckets that are known to be wide; of the last one they follow batch by batch.
+            runs = np.diff(np.append(edges, len(keys)))
+            own = size[-len(runs):]
+            if not new[0] and own[0] > 3:
+                yield rows(np.full(len(waiting), bucket), waiting, np.full(len(waiting), -1))
+            inside = np.repeat(own > 3, runs)
+            yield rows(keys[inside], nodes[inside], np.full(np.count_nonzero(inside), -1))
+            rest = nodes[edges[-1]:] if own[-1] <= 3 else nodes[:0]
+            waiting = np.concatenate((waiting, rest)) if len(runs) == 1 and not new[0] and own[-1] <= 3 else rest
             n, members = int(size[-1]), mark[-1]
             bucket, first, last = keys[-1], center[-1] if old[-1] else nodes[-1], nodes[-1]
         if n > 3:
@@ -122,7 +134,7 @@ def _neighbours(classes: DataFrame, halves: int, n_rows: int) -> tuple[DataFrame
     keyed = _table_keys(classes, halves).repartition("bucket").sortWithinPartitions("bucket", "node")
     found = stored(keyed.mapInArrow(tie, "a long, b long, n long"), "buckets", n_rows)
     wide = found.filter("n > 0").groupBy("n", F.col("b").alias("members")).agg(F.min("a").alias("bucket"))
-    return found.filter("n = 0").select("a", "b").distinct(), wide
+    return found.filter("n = 0").select("a", "b").distinct(), wide, found.filter("n < 0").select(F.col("a").alias("bucket"), F.col("b").alias("node"))
 
 
 def _agreement(functions: int, percent: int) -> int:
@@ -165,22 +177,20 @@ def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _missed(classes: DataFrame, groups: DataFrame, wide: DataFrame, halves: int, percent: int, n_rows: int) -> DataFrame:
+def _missed(classes: DataFrame, groups: DataFrame, wide: DataFrame, held: DataFrame, halves: int, percent: int, n_rows: int) -> DataFrame:
     """pairs(a, b) of candidate clusters that a bucket joins by a promising pair which `_neighbours` did not tie.
 
-    groups(node, root) are the clusters so far, wide(bucket, ...) the larger buckets. Up to three members of a bucket are all tied. In larger buckets of several
-    clusters, the members outside the one with most members are compared with all others, in cells of two blocks of
+    groups(node, root) are the clusters so far, wide(bucket, ...) the larger buckets, held(bucket, node) their members. Up to three members of a bucket are
+    all tied. In larger buckets of several clusters, the members outside the one with most members are compared with all others, in cells of two blocks of
     sketches; only as many pairs come out as connect the clusters of a cell. Buckets with the same members count once.
     """
-    # The list of buckets is broadcast if it is counted to be small; then the keys of other buckets end where they are made.
-    held = _table_keys(classes, halves).join(broadcast_if_small(wide.select("bucket")), "bucket")
-    rooted = stored(held.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "members", n_rows)
-    parted = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    members = rooted.join(broadcast_if_small(parted), "bucket")
-    main = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+    members = stored(held.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "members", n_rows)
+    # Clusters are counted from the members alone, so only buckets of several clusters are joined, and once.
+    parted = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil(F.max("n") / SKETCHES).alias("blocks"),
-        F.ceil((F.sum("n") - F.max("n")) / SKETCHES).alias("outer"))
-    dealt = members.join(main, "bucket").withColumn("outside", F.col("root") != F.col("main")).withColumn("own", F.when(
+        F.ceil((F.sum("n") - F.max("n")) / SKETCHES).alias("outer")).filter("outer > 0")
+    main = stored(parted.join(wide.select("bucket"), "bucket"), "parted", n_rows)
+    dealt = members.join(broadcast_if_small(main), "bucket").withColumn("outside", F.col("root") != F.col("main")).withColumn("own", F.when(
         F.col("outside"), F.col("blocks") + F.pmod(F.xxhash64("node", F.lit(5)), "outer")).otherwise(F.pmod(F.xxhash64("node", F.lit(3)), "blocks")))
     last = F.col("blocks") + F.col("outer") - 1
     others = F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), last)).otherwise(F.sequence(F.col("blocks"), last))
@@ -323,10 +333,10 @@ def near_duplicate_classes(docs: DataFrame, shingle_words: int = 5, percent: int
     usable = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(usable.groupBy(F.col("set_key").alias("node")).agg(
         F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "left_keys", "right_keys", "mins"))), "classes", n)
-    ties, wide = _neighbours(classes, halves, n)
+    ties, wide, held = _neighbours(classes, halves, n)
     candidates = stored(_promising(ties, classes, halves, percent), "candidates", n)
     groups = components(candidates)
-    missed = stored(_missed(classes, groups, stored(wide, "wide", n), halves, percent, n), "missed", n)
+    missed = stored(_missed(classes, groups, stored(wide, "wide", n), held, halves, percent, n), "missed", n)
     if not missed.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed))
     roots = _roots(groups, classes, docs, shingle_words, percent, n)

@@ -77,6 +77,26 @@ def test_near_copies_among_strangers_of_one_passage(spark, monkeypatch, sketches
     assert {r.doc_id: r.component_id for r in minhash.near_duplicate_classes(docs, shingle_words=2).collect()} == want
 
 
+@pytest.mark.parametrize("at_a_time", [1, 2, 5, 10_000])
+def test_members_of_wide_buckets_need_no_join(spark, at_a_time):
+    """The pass over the buckets gives the members of those of more than three, also where a bucket goes on over several batches."""
+    sizes = {1: 4, 2: 3, 3: 1, 4: 9, 5: 2, 6: 40, 7: 3, 8: 5}
+    rows = [(100 * left + i, [left]) for left, n in sizes.items() for i in range(n)]
+    classes = spark.createDataFrame(rows, "node long, left_keys array<long>").withColumn("right_keys", F.array(F.lit(1).cast("long")))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(at_a_time))
+    try:
+        ties, wide, held = minhash._neighbours(classes, 1, len(rows))
+        members = defaultdict(list)
+        for r in held.collect():
+            members[r.bucket].append(r.node)
+        assert sorted(map(sorted, members.values())) == [[100 * k + i for i in range(n)] for k, n in sizes.items() if n > 3]
+        assert {r.bucket: r.n for r in wide.collect()} == {k: len(v) for k, v in members.items()}
+        assert {(r.a // 100, r.b // 100) for r in ties.collect()} == {(k, k) for k, n in sizes.items() if n > 1}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_drop_near_duplicates(odd, none):
     kept = minhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
