@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from dossierlake.functions import text as tx
@@ -111,13 +113,14 @@ def names(entry: dict) -> list[str]:
     return [entry["label"], *entry.get("variants", [])]
 
 
-def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _strings(values, form: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Fixed texts in some form. The form is written out for each, so that Spark works it out once and not in each row."""
+    return F.array(*[form(F.lit(v)) for v in values])
 
 
 def _holds(entry: dict, key: Column) -> Column:
     """Whether any name of the entry equals or contains the normalised hint."""
-    return F.exists(F.transform(_strings(names(entry)), lambda n: tx.title_key(n)), lambda n: F.contains(n, key))
+    return F.exists(_strings(names(entry), tx.title_key), lambda n: F.contains(n, key))
 
 
 def category_of(hint: Column, dictionary: dict, default: str = DEFAULT_CATEGORY) -> Column:
@@ -127,12 +130,12 @@ def category_of(hint: Column, dictionary: dict, default: str = DEFAULT_CATEGORY)
     return F.coalesce(*[F.when(given & _holds(e, key), c) for c, e in dictionary.items()], F.lit(default))
 
 
-def candidate_pool(hint: Column, dictionary: dict, default: str | None = None) -> Column:
-    """Names a heading is compared with: the hinted entry's, the hint itself, the default entry's, or all."""
+def candidate_pool(hint: Column, dictionary: dict, default: str | None = None, form: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Names a heading is compared with, each in some form: the hinted entry's, the hint itself, the default entry's, or all."""
     key = tx.title_key(hint)
     if default in dictionary:
-        no_hint = _strings(names(dictionary[default]))
+        no_hint = _strings(names(dictionary[default]), form)
     else:
-        no_hint = _strings([n for e in dictionary.values() for n in names(e)])
-    hinted = [F.when(_holds(e, key), _strings(names(e))) for e in dictionary.values()]
-    return F.when(F.coalesce(hint == "", F.lit(True)), no_hint).otherwise(F.coalesce(*hinted, F.array(hint)))
+        no_hint = _strings([n for e in dictionary.values() for n in names(e)], form)
+    hinted = [F.when(_holds(e, key), _strings(names(e), form)) for e in dictionary.values()]
+    return F.when(F.coalesce(hint == "", F.lit(True)), no_hint).otherwise(F.coalesce(*hinted, F.array(form(hint))))

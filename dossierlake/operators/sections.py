@@ -102,13 +102,19 @@ def all_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", "heading_no", "_x.level", "_x.title", "_x.end_line", "_x.section")
 
 
-def scored_headings(docs: DataFrame, dictionary: dict, text: str = "text", hint: str | None = None,
-                    default: str | None = None) -> DataFrame:
-    """`with_headings` plus `scores`, the similarity of each heading to its document's candidates."""
+def _compared(docs: DataFrame, dictionary: dict, text: str = "text", hint: str | None = None,
+              default: str | None = None) -> tuple[DataFrame, Column, Column]:
+    """`with_headings`, and the keys of its headings and of its document's candidates."""
     hinted = docs.withColumn("_hint", F.col(hint) if hint else F.lit(None).cast("string"))
     parsed = with_headings(hinted, text, ("_hint",))
-    pool = F.transform(vo.candidate_pool(F.col("_hint"), dictionary, default), lambda n: tx.title_key(n))
+    pool = vo.candidate_pool(F.col("_hint"), dictionary, default, tx.title_key)
     keys = F.transform("heads", lambda h: tx.title_key(h["title"]))
+    return parsed, keys, pool
+
+
+def scored_headings(docs: DataFrame, dictionary: dict, **kw) -> DataFrame:
+    """`with_headings` plus `scores`, the similarity of each heading to its document's candidates."""
+    parsed, keys, pool = _compared(docs, dictionary, **kw)
     return parsed.select("doc_id", "lines", "heads", sim.heading_scores(keys, pool).alias("scores"))
 
 
@@ -120,16 +126,17 @@ def heading_score_rows(docs: DataFrame, dictionary: dict, **kw) -> DataFrame:
     return rows.select("doc_id", "heading_no", "_x.title", "_x.score")
 
 
-def _best(scored: DataFrame, threshold: float) -> DataFrame:
-    """Adds `at`, the 0-based position of the best heading; documents below the threshold go."""
-    top = F.array_max("scores")
-    at = (F.array_position("scores", top) - 1).cast("int")
-    return scored.select("*", top.alias("score"), at.alias("at")).filter(F.col("score") >= threshold)
+def _best(docs: DataFrame, dictionary: dict, threshold: float, **kw) -> DataFrame:
+    """`with_headings` plus `score` and `at`, the 0-based position of the best heading; documents below the threshold go."""
+    parsed, keys, pool = _compared(docs, dictionary, **kw)
+    # The filter on the score would otherwise find the headings and compare them a second time.
+    found = parsed.select("doc_id", "lines", "heads", _once(sim.best_heading(keys, pool, threshold)).alias("_b"))
+    return found.select("doc_id", "lines", "heads", F.col("_b.score").alias("score"), F.col("_b.at").alias("at")).filter(F.col("score") >= threshold)
 
 
 def best_headings(docs: DataFrame, dictionary: dict, threshold: float = MATCH_THRESHOLD, **kw) -> DataFrame:
     """(doc_id, heading_no, heading, level, score): the best heading per document, first on ties."""
-    found = _best(scored_headings(docs, dictionary, **kw), threshold)
+    found = _best(docs, dictionary, threshold, **kw)
     head = F.element_at("heads", F.col("at") + 1)
     return found.select("doc_id", F.col("at").alias("heading_no"), head["title"].alias("heading"), head["level"].alias("level"),
                         F.round("score", 3).alias("score"))
@@ -158,7 +165,7 @@ def _once(col: Column) -> Column:
 
 def match_sections(docs: DataFrame, dictionary: dict, threshold: float = MATCH_THRESHOLD, references: bool = True, **kw) -> DataFrame:
     """(doc_id, heading, level, score, text): the wanted section of each document that has one."""
-    found = _best(scored_headings(docs, dictionary, **kw), threshold)
+    found = _best(docs, dictionary, threshold, **kw)
     heads, lines = F.col("heads"), F.col("lines")
     own = found.select("doc_id", "lines", "heads", "score", "at", F.element_at("heads", F.col("at") + 1).alias("own"))
     end = _end_line(F.col("own"), F.col("at"), heads, F.size(lines))

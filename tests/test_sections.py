@@ -137,3 +137,29 @@ def test_scores_of_all_titles_against_a_plain_fold(spark, sf):
     asked = spark.createDataFrame([(r.title if r else None,) for r in some], "title string")
     flags = [r[0] for r in asked.coalesce(1).select(cl.is_boilerplate(F.col("title"), BOILERPLATE)).collect()]
     assert flags == [bool(r) and max(plain_ratio(r.title_key, k) for k in keys) >= cl.BOILERPLATE_RATIO for r in some]
+
+
+def test_the_best_heading_is_found_in_one_pass(spark):
+    """The filter on the score does not compare the headings again, and the first of the best wins."""
+    titles = [["Sommaire"], ["Critères de jugement", "Mentions légales", "critères de jugement"], ["zz"], [], ["Mentions", "Critères de jugements", "CRITERES de jugement des offres"], ["Plan du mémoire " + "x" * 240]]
+    docs = spark.createDataFrame([(i, "\n".join(f"# {t}\ncorps" for t in own), [None, "", "critère", "autre"][i % 4]) for i, own in enumerate(titles)], "doc_id long, text string, hint string")
+    for threshold in (0.0, 0.3, 0.55, 0.9):
+        scores = {}
+        for r in sc.heading_score_rows(docs, vo.CONSULTATION_SECTIONS, hint="hint").collect():
+            scores.setdefault(r.doc_id, {})[r.heading_no] = r.score
+        want = {d: (min(h for h in own if own[h] == max(own.values())), round(max(own.values()), 3)) for d, own in scores.items() if max(own.values()) >= threshold}
+        best = sc.best_headings(docs, vo.CONSULTATION_SECTIONS, threshold, hint="hint")
+        assert {r.doc_id: (r.heading_no, r.score) for r in best.collect()} == want and len(want) >= 1
+        assert best._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ArrowEvalPython") == 1
+
+
+def test_full_comparisons_are_made_where_they_can_decide():
+    """A title that equals one candidate is compared with that one only."""
+    import pandas as pd
+
+    names = [f"critere {c * 9}" for c in "abcdefghij"]
+    pool = sim._pooled(pd.Series([names[3:4]]), pd.Series([names]), True, frozenset())[0]
+    asked = []
+    for m in pool.matchers:
+        m.ratio = lambda m=m, ratio=m.ratio: asked.append(m.b) or ratio()
+    assert pool.score(names[3]) == 1.0 and asked == [names[3]]
