@@ -71,7 +71,9 @@ class Corpus:
 
     def stats(self) -> DataFrame:
         """The term statistics of the live chunks, from the sums of the steps: no text and no posting is read."""
-        counts = self._union("df", _ADD, _ERASE).groupBy("corpus_key", "term").agg(F.sum("df").alias("df")).filter("df > 0")
+        # Nulls are left out here, so the sums that the mean and the terms need are the same exchange.
+        given = self._union("df", _ADD, _ERASE).filter("corpus_key IS NOT NULL AND term IS NOT NULL")
+        counts = given.groupBy("corpus_key", "term").agg(F.sum("df").alias("df")).filter("df > 0")
         return se.with_idf(counts, self.sizes())
 
     def centroids(self) -> np.ndarray:
@@ -131,11 +133,11 @@ def add(spark: SparkSession, folder: str, docs: DataFrame, tag: str, model=vx.ha
     docs.drop("text").write.mode("overwrite").parquet(at("registry"))
     ck.retrieval_chunks(docs.select("doc_id", "text", "corpus_key"), keep=("corpus_key",)).write.mode("overwrite").parquet(at("chunks"))
     chunks = ck.searchable(spark.read.parquet(at("chunks")))
-    se.postings(se.placed(chunks)).write.mode("overwrite").parquet(at("plain"))
-    plain = spark.read.parquet(at("plain"))
+    se.term_lists(chunks).write.mode("overwrite").parquet(at("plain"))
+    plain = se.listed_postings(spark.read.parquet(at("plain")))
     plain.groupBy("corpus_key", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(at("df"))
     _word_counts(chunks).write.mode("overwrite").parquet(at("sizes"))
-    ki.write(plain, se.corpus_sizes(chunks), at("keywords"), se.K1, se.B)
+    ki.write(plain, se.corpus_sizes(chunks), at("keywords"), se.K1, se.B, counts=spark.read.parquet(at("df")))
     # Only texts that no step has embedded reach the model.
     es.embed_unseen(chunks, corpus.embeddings(), model).write.mode("overwrite").parquet(at("embeddings"))
     fresh = spark.read.schema(es.STORED).parquet(at("embeddings"))
@@ -162,7 +164,7 @@ def erase(spark: SparkSession, folder: str, requests: DataFrame, tag: str) -> No
     gone = broadcast_if_small(spark.read.parquet(at("tombstones")))
     theirs = lambda table: corpus.live(table).join(gone, "doc_id", "left_semi")
     if corpus._paths("plain", _ADD):
-        counts = theirs("plain").groupBy("corpus_key", "term").agg((-F.count("*")).alias("df"))
+        counts = se.listed_postings(theirs("plain")).groupBy("corpus_key", "term").agg((-F.count("*")).alias("df"))
         sizes = _word_counts(ck.searchable(theirs("chunks")), -1)
     else:
         counts, sizes = spark.createDataFrame([], "corpus_key string, term string, df long"), spark.createDataFrame([], "corpus_key string, n_chunks long, n_words long")

@@ -62,3 +62,36 @@ def test_only_row_groups_of_asked_words_are_read(spark, stored):
     assert top.count() == 3
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,w250)" in plan or "In(term, [w250])" in plan
+
+
+def test_a_word_of_few_postings_is_one_block(stored):
+    words = stored[2].blocks.groupBy("corpus_key", "term").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).collect()
+    assert {r.blocks for r in words if r.n <= 50} == {1}
+    assert min(r.blocks for r in words if r.n > 50) > 1
+
+
+def test_no_row_is_made_for_a_query_and_a_posting(spark, stored):
+    _, stats, index = stored
+    asked = spark.createDataFrame([(i, "w0 w1 w2") for i in range(40)], "query_id long, text string")
+    top = ki.top(index, stats, se.query_terms(asked), 3, se.K1, se.B)
+    assert len({(r.doc_id, r.chunk_index, r["rank"]) for r in top.collect()}) == 3 and top.count() == 120
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "sum(" not in plan
+
+
+def test_word_lists_of_chunks_give_the_same_postings(spark):
+    rows = [("a", 1, 0, "Un deux UN\u00a0un\x1cdeux  trois", 6), ("a", 2, 0, None, 0), ("a", 3, 0, " ", 0), (None, 4, 0, "\u0130l \u2003Été", 2), ("b", None, 0, "x x", 2)]
+    again = [("b", None, 0, "x y", 2), ("a", 1, 0, "un deux", 2)]
+    for some in (rows, rows + again, rows + rows):
+        chunks = spark.createDataFrame(some, CHUNKS)
+        columns = ["corpus_key", "doc_id", "chunk_index", "dl", "term", "tf"]
+        got, want = (sorted(map(repr, df.select(*columns).collect())) for df in (se.listed_postings(se.term_lists(chunks)), se.postings(chunks)))
+        assert got == want and len(got) > 0
+
+
+def test_a_document_without_an_id_is_found(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", None, 0, "u v", 2), ("a", 2 ** 60 + 1, 0, "u w", 2), ("a", 7, 0, "w w", 2), ("a", 8, 0, "z", 1)], CHUNKS)
+    index, stats = se.write_keywords(chunks, str(tmp_path))
+    asked = spark.createDataFrame([(1, "u v")], "query_id long, text string")
+    want = se.best(se.bm25(se.placed(chunks), stats, asked), "bm25", 3)
+    assert hits(se.keyword_top(index, stats, asked, 3)) == hits(want)
